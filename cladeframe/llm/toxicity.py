@@ -37,8 +37,9 @@ REPORTS = ("said says wrote claims quoted reported called sagte sagt schrieb beh
 
 NEGATION_REACH = 3  # words after a negation that it still turns
 STEM_LENGTHS = (4, 5, 6)
-#: A stem is learned if this share of the toxic sample holds it and clean documents hardly do.
-MIN_SUPPORT, MAX_CLEAN = 0.004, 0.05
+#: A stem is learned if this share of the toxic sample holds it, clean documents hardly do,
+#: and chance would put it on the toxic side so often in at most this many cases.
+MIN_SUPPORT, MAX_CLEAN, MAX_CHANCE = 0.004, 0.05, 1e-7
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, STOP = 1, 2, 4, 8, 16, 32
 ARCS = ("plain", "targeted", "negated", "reported", "threat")
@@ -164,6 +165,15 @@ class Grammar:
         self.weights = w
 
 
+def _chance(toxic: int, clean: int, share: float) -> float:
+    """Chernoff bound of the log probability that so many of the holders are toxic."""
+    n = toxic + clean
+    p = toxic / n
+    if p <= share:
+        return 0.0
+    return -n * (p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if clean else 0.0))
+
+
 def _stem_counts(rows: DataFrame, label: int, only: set[str] | None) -> DataFrame:
     """``stem, n``: documents of one class that hold it (``only``: among these stems)."""
 
@@ -204,7 +214,7 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, scratch: Scratch, fold: Colu
         clean = {r[0]: r[1] for r in _stem_counts(rows, 0, set(toxic)).collect()}
         for stem, hits in toxic.items():
             p, q = hits / n[1], (clean.get(stem, 0) + 0.5) / (n[0] + 1)
-            if q <= MAX_CLEAN * p:
+            if q <= MAX_CLEAN * p and _chance(hits, clean.get(stem, 0), n[1] / (n[0] + n[1])) <= np.log(MAX_CHANCE):
                 grammar.insults[stem] = float(np.log(p / q)) / 4
         for stem in list(grammar.insults):
             # what begins with a shorter insult says no more than that
