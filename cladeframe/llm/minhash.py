@@ -1,20 +1,23 @@
 """Near-duplicates by a signature-coordinate inverted join.
 
 Documents with equal shingle sets form one class.  Every class representative is
-posted under each (coordinate, value) pair of its MinHash signature.  Pairs of
-documents whose signatures agree in at least ``MATCHES`` coordinates are
-candidates, and they are found from prefixes: in the order "unshared values
-first, then by coordinate" such a pair must meet in the first
-``COORDINATES - MATCHES + 1`` postings of both, so all later ones are skipped, as
-are documents with too few shared values; a pair that meets more than once
-counts where it meets first.  Candidates are confirmed on full shingle sets.
+posted under the first ``LANES`` (coordinate, value) pairs of its MinHash signature.
+Pairs of documents that agree in at least ``MATCHES`` of them are found from
+prefixes: in the order "unshared values first, then by coordinate" such a pair
+must meet in the first ``LANES - MATCHES + 1`` postings of both, so all later ones
+are skipped, as are documents with too few shared values; a pair that meets more
+than once counts where it meets first.  Where it does, its collisions are counted
+over the whole signature, and it is a candidate with at least ``RETAINED`` of
+``COORDINATES``.  Candidates are confirmed on full shingle sets.
 
 No list is expanded into all of its pairs.  Round one compares a list's members
-with its hub (least id) only; links confirmed so far form components.  Round two
-compares what is left between different components: per list the members of the
-largest component are dealt out over slices, the others go to every slice.
-Lists that lie within one component are skipped.  Linked documents of one
-component need no further pairs, so the components are those of all links.
+with its hub (least id) only.  A hub and the documents near it form a star; a task
+confirms a whole star at once from products of its incidence matrix and returns
+the components that its links span.  Round two compares what is left between
+different components and no common star: per list the members of the largest
+component are dealt out over slices, the others go to every slice.  Lists that lie
+within one component are skipped.  Linked documents of one component need no
+further pairs, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -27,10 +30,16 @@ from pyspark.sql import functions as F
 from cladeframe.llm.common import Scratch, chunks, map_texts, ragged
 from cladeframe.llm.components import connected_components
 
-#: A pair at the threshold of 0.8 agrees in fewer than 13 of 32 coordinates in about 2 of 10 million cases.
-COORDINATES, MATCHES = 32, 13
-#: Members of a list, or partners of a hub, in one slice.
-SLICE = 4096
+#: A pair at the threshold of 0.8 agrees in fewer than 13 of 32 coordinates in about 3 of 10 million cases ...
+LANES, MATCHES = 32, 13
+#: ... and in fewer than 77 of 128 in about 1 of 10 million; pairs at 0.5 reach that in 1 of 75 cases.
+COORDINATES, RETAINED = 128, 77
+#: Coordinates that a document shares with a hub to belong to its star (lower, so that stars are whole).
+NEAR_HUB = 58
+#: Members of a list, or partners of a hub, in one slice; shingles that a task holds of a star.
+SLICE, STAR_SHINGLES = 4096, 3_000_000
+#: Stars that a document remembers, to skip pairs which a star has settled.
+STARS = 4
 #: Ids that may be broadcast (8 bytes each); beyond that tables are joined by shuffles.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -93,13 +102,13 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """Least transformed hash for each coordinate, upper 32 bits."""
+def signature(hashes: np.ndarray) -> bytes:
+    """Least transformed hash for each coordinate: 32 bits for posted ones, 16 for the others."""
     least = np.empty(COORDINATES, dtype=np.uint64)
-    for lo in range(0, len(hashes), 8192):
-        part = (hashes[None, lo:lo + 8192] * _A[:, None] + _B[:, None]).min(axis=1)
+    for lo in range(0, len(hashes), 2048):
+        part = (hashes[None, lo:lo + 2048] * _A[:, None] + _B[:, None]).min(axis=1)
         least = part if not lo else np.minimum(least, part)
-    return (least >> np.uint64(32)).astype("<u4")
+    return (least[:LANES] >> np.uint64(32)).astype("<u4").tobytes() + (least[LANES:] >> np.uint64(48)).astype("<u2").tobytes()
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -115,27 +124,28 @@ def sketch(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str =
         d2 = np.array([np.bitwise_xor.reduce(_mix(s)) if len(s) else 0 for s in sets], dtype=np.uint64)
         return pa.RecordBatch.from_arrays([
             batch.column(0), pa.array([len(s) for s in sets], "int64"), pa.array(_signed(d1)), pa.array(_signed(d2)),
-            pa.array([signature(s).tobytes() if len(s) else None for s in sets], "binary")],
+            pa.array([signature(s) if len(s) else None for s in sets], "binary")],
             ["doc_id", "n", "d1", "d2", "sig"])
 
     return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")),
                      run, "doc_id long, n long, d1 long, d2 long, sig binary")
 
 
-def _matrix(column) -> np.ndarray:
-    """Signatures of a binary column as rows."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
+def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
+    """Posted and other coordinates of a binary column of signatures, as rows."""
+    rows = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, 4 * LANES + 2 * (COORDINATES - LANES))
+    return np.ascontiguousarray(rows[:, :4 * LANES]).view("<u4"), np.ascontiguousarray(rows[:, 4 * LANES:]).view("<u2")
 
 
 def _postings(reps: DataFrame) -> DataFrame:
     """``key, id`` for every coordinate of every representative."""
 
     def run(batches):
-        lanes = np.arange(COORDINATES, dtype=np.int64) << 32
+        lanes = np.arange(LANES, dtype=np.int64) << 32
         for batch in batches:
             if batch.num_rows:
-                keys = _matrix(batch.column("sig")).astype(np.int64) + lanes
-                ids = np.repeat(np.asarray(batch.column("id")), COORDINATES)
+                keys = _matrix(batch.column("sig"))[0].astype(np.int64) + lanes
+                ids = np.repeat(np.asarray(batch.column("id")), LANES)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "id"])
 
     return reps.select("id", "sig").mapInArrow(run, "key long, id long")
@@ -160,19 +170,19 @@ def _prefixes(reps: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _hub_pairs(prefixed: DataFrame) -> DataFrame:
-    """Round one: ``a, b`` where b's signature agrees with that of a list's hub a.
+    """Round one: ``a, b`` where b's signature is near that of a list's hub a.
 
     Members go to their list in slices by id; the hub goes to every slice.
     """
-    one = prefixed.select("id", "n", "sig", F.explode("shared").alias("s")) \
+    one = prefixed.select("id", "sig", F.explode("shared").alias("s")) \
         .where("s.in_prefix or s.hub = id") \
-        .select("id", "n", "sig", "s.lane", "s.cnt", (F.col("s.hub") == F.col("id")).alias("is_hub"),
+        .select("id", "sig", "s.lane", "s.cnt", (F.col("s.hub") == F.col("id")).alias("is_hub"),
                 F.ceil(F.col("s.cnt") / SLICE).cast("int").alias("slices"))
     slices = F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")))
     # one column of the signature is the list's value, so (lane, value, slice) is the group
     value = F.substring("sig", F.col("lane") * 4 + 1, F.lit(4))
-    rows = one.select("id", "n", "sig", "lane", value.alias("value"), "is_hub", F.explode(slices).alias("slice"))
+    rows = one.select("id", "sig", "lane", value.alias("value"), "is_hub", F.explode(slices).alias("slice"))
     rows = rows.repartition("lane", "value", "slice").sortWithinPartitions("lane", "value", "slice", F.desc("is_hub"))
 
     def run(batches):
@@ -180,38 +190,39 @@ def _hub_pairs(prefixed: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, ids, n = _matrix(batch.column("sig")), np.asarray(batch.column("id")), np.asarray(batch.column("n"))
+            (lanes, rest), ids = _matrix(batch.column("sig")), np.asarray(batch.column("id"))
             keys = list(zip(batch.column("lane").to_pylist(), batch.column("value").to_pylist(), batch.column("slice").to_pylist()))
             is_hub = np.asarray(batch.column("is_hub"))
             hubs = np.flatnonzero(is_hub)
             # the hub of each row: the last hub row at or before it
             at = np.searchsorted(hubs, np.arange(len(ids)), side="right") - 1
-            sigs = np.concatenate([hub[0][None] if hub else np.zeros((1, COORDINATES), "<u4"), sig[hubs]])
+            hub_lanes = np.concatenate([hub[0][None] if hub else np.zeros((1, LANES), "<u4"), lanes[hubs]])
+            hub_rest = np.concatenate([hub[2][None] if hub else np.zeros((1, COORDINATES - LANES), "<u2"), rest[hubs]])
             hub_ids = np.r_[hub[1] if hub else -1, ids[hubs]]
-            hub_n = np.r_[hub[2] if hub else 0, n[hubs]]
             own = [key, *[keys[h] for h in hubs]]
-            a, an = hub_ids[at + 1], hub_n[at + 1]
+            a = hub_ids[at + 1]
             same = np.fromiter((own[k + 1] == q for k, q in zip(at, keys)), dtype=bool, count=len(keys))
-            match = (sigs[at + 1] == sig).sum(axis=1) >= MATCHES
-            near = 10 * np.minimum(n, an) >= 8 * np.maximum(n, an) - 1e-9
-            take = same & ~is_hub & match & near
+            match = (hub_lanes[at + 1] == lanes).sum(axis=1) + (hub_rest[at + 1] == rest).sum(axis=1) >= NEAR_HUB
+            take = same & ~is_hub & match
             if take.any():
                 yield pa.RecordBatch.from_arrays([pa.array(a[take]), pa.array(ids[take])], ["a", "b"])
             if len(hubs):
-                key, hub = keys[hubs[-1]], (sig[hubs[-1]].copy(), int(ids[hubs[-1]]), int(n[hubs[-1]]))
+                key, hub = keys[hubs[-1]], (lanes[hubs[-1]].copy(), int(ids[hubs[-1]]), rest[hubs[-1]].copy())
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _cross_pairs(prefixed: DataFrame, label: DataFrame) -> DataFrame:
-    """Round two: candidate pairs ``a < b`` between different components.
+def _cross_pairs(prefixed: DataFrame, label: DataFrame, member: DataFrame) -> DataFrame:
+    """Round two: candidate pairs ``a < b`` between different components and without a common star.
 
-    ``label(id, component)`` covers documents that have links so far.
+    ``label(id, component)`` covers documents that have links so far, ``member(id, stars)``
+    those that are in stars (``STARS`` of them each; without one the value is the id).
     """
-    named = prefixed.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = prefixed.join(label, "id", "left").join(member, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = named.withColumn("stars", F.coalesce("stars", F.array_repeat("id", STARS)))
     value = F.substring("sig", F.col("s.lane") * 4 + 1, F.lit(4))
-    one = named.select("id", "n", "sig", "component", F.explode("shared").alias("s")).where("s.in_prefix") \
-        .select("id", "n", "sig", "component", F.col("s.lane").alias("lane"), value.alias("value"))
+    one = named.select("id", "n", "sig", "component", "stars", F.explode("shared").alias("s")).where("s.in_prefix") \
+        .select("id", "n", "sig", "component", "stars", F.col("s.lane").alias("lane"), value.alias("value"))
     parts = one.groupBy("lane", "value", "component").agg(F.count(F.lit(1)).alias("members"))
     mixed = parts.groupBy("lane", "value").agg(
         F.count(F.lit(1)).alias("components"), F.max(F.struct("members", "component")).alias("top"),
@@ -220,17 +231,27 @@ def _cross_pairs(prefixed: DataFrame, label: DataFrame) -> DataFrame:
     rows = one.join(mixed, ["lane", "value"]).withColumn("own_slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")) \
         .withColumn("is_main", F.col("component") == F.col("main"))
     slices = F.when(F.col("is_main"), F.array("own_slice")).otherwise(F.sequence(F.lit(0), F.col("slices") - 1))
-    rows = rows.select("lane", "value", F.explode(slices).alias("slice"), "is_main", "own_slice", "id", "n", "sig", "component")
+    rows = rows.select("lane", "value", F.explode(slices).alias("slice"), "is_main", "own_slice", "id", "n", "sig", "component", "stars")
     rows = rows.repartition("lane", "value", "slice").sortWithinPartitions("lane", "value", "slice", "is_main", "id")
 
     def pairs(lane, a, b):
-        """Candidates between two blocks (id, n, sig, component arrays), each met first in this lane."""
+        """Candidates between two blocks (id, n, lanes, component, rest, stars arrays), each met first in this lane."""
         for lo in range(0, len(a[0]), 256):
             left = [x[lo:lo + 256] for x in a]
             equal = left[2][:, None, :] == b[2][None, :, :]
             ok = (left[3][:, None] != b[3][None, :]) & (equal.sum(axis=2) >= MATCHES) & (equal.argmax(axis=2) == lane)
             small, large = np.minimum(left[1][:, None], b[1][None, :]), np.maximum(left[1][:, None], b[1][None, :])
             i, j = np.nonzero(ok & (10 * small >= 8 * large))
+            if len(i):
+                count = equal.sum(axis=2)[i, j]
+                for at in range(0, len(i), 65536):
+                    part = slice(at, at + 65536)
+                    count[part] += (left[4][i[part]] == b[4][j[part]]).sum(axis=1)
+                i, j = i[count >= RETAINED], j[count >= RETAINED]
+                settled = np.zeros(len(i), dtype=bool)
+                for k in range(STARS):
+                    settled |= (left[5][i, k][:, None] == b[5][j]).any(axis=1)
+                i, j = i[~settled], j[~settled]
             if len(i):
                 x, y = left[0][i], b[0][j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
@@ -242,11 +263,11 @@ def _cross_pairs(prefixed: DataFrame, label: DataFrame) -> DataFrame:
             """Pairs among the other members: this slice's against those with larger ids."""
             if not others:
                 return
-            every = [np.concatenate([o[k] for o in others]) for k in range(5)]
-            mine = every[4] == key[2]
-            left = [x[mine] for x in every[:4]]
+            every = [np.concatenate([o[k] for o in others]) for k in range(7)]
+            mine = every[6] == key[2]
+            left = [x[mine] for x in every[:6]]
             for lo in range(0, len(every[0]), 1024):
-                block = [x[lo:lo + 1024] for x in every[:4]]
+                block = [x[lo:lo + 1024] for x in every[:6]]
                 for got in pairs(key[0], left, block):
                     yield got
             others[:] = [every]
@@ -257,7 +278,8 @@ def _cross_pairs(prefixed: DataFrame, label: DataFrame) -> DataFrame:
             keys = list(zip(batch.column("lane").to_pylist(), batch.column("value").to_pylist(), batch.column("slice").to_pylist(),
                             batch.column("is_main").to_pylist()))
             cut = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-            sig = _matrix(batch.column("sig"))
+            lanes, rest = _matrix(batch.column("sig"))
+            stars = np.asarray(batch.column("stars").flatten()).reshape(-1, STARS)
             ids, n, comp, own = (np.asarray(batch.column(k)) for k in ("id", "n", "component", "own_slice"))
             for lo, hi in zip(cut, cut[1:]):
                 if keys[lo][:3] != key:
@@ -265,7 +287,7 @@ def _cross_pairs(prefixed: DataFrame, label: DataFrame) -> DataFrame:
                         yield from own_pairs()
                     key, flushed = keys[lo][:3], False
                     others.clear()
-                rows_ = [ids[lo:hi], n[lo:hi], sig[lo:hi], comp[lo:hi], own[lo:hi]]
+                rows_ = [ids[lo:hi], n[lo:hi], lanes[lo:hi], comp[lo:hi], rest[lo:hi], stars[lo:hi], own[lo:hi]]
                 if not keys[lo][3]:
                     others.append([x.copy() for x in rows_])
                     continue
@@ -274,7 +296,7 @@ def _cross_pairs(prefixed: DataFrame, label: DataFrame) -> DataFrame:
                     flushed = True
                 for other in others:
                     for at in range(0, hi - lo, 1024):
-                        yield from pairs(key[0], other[:4], [x[at:at + 1024] for x in rows_[:4]])
+                        yield from pairs(key[0], other[:6], [x[at:at + 1024] for x in rows_[:6]])
         if not flushed and key is not None:
             yield from own_pairs()
 
@@ -286,11 +308,10 @@ def _with_ids(table: DataFrame, ids: DataFrame, how: str = "inner") -> DataFrame
     return table.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "doc_id", how)
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs ``a, b`` whose full sets satisfy 100 * intersection >= percent * union.
+def _hub_rows(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``a, slice, b, text, role`` for a task per hub slice, the hub (role 0) before its partners.
 
-    A pair's left end is a hub: its text goes once to each slice of its partners,
-    every partner's text once to the hub, and a task holds one hub set at a time.
+    A hub's text goes once to each slice of its partners, a partner's once to the hub.
     """
     ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     texts = scratch.save(_with_ids(docs.select("doc_id", "text"), ids).dropDuplicates(["doc_id"]))
@@ -300,7 +321,86 @@ def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratc
         "a", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"), "b", "text", F.lit(1).alias("role"))
     heads = hubs.join(side.withColumnRenamed("b", "a"), "a").select(
         "a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("a").alias("b"), "text", F.lit(0).alias("role"))
-    rows = heads.union(partners).repartition("a", "slice").sortWithinPartitions("a", "slice", "role")
+    return heads.union(partners).repartition("a", "slice").sortWithinPartitions("a", "slice", "role")
+
+
+def _similar(both: int, n: int, m: int, percent: int):
+    return (both > 0) & (100 * both >= percent * (n + m - both))
+
+
+def star_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the first one of its component under links of at least ``percent``."""
+    n, size = len(sets), np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(n), size)
+    _, column, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    held = holders[column] > 1
+    row, column = row[held], np.unique(column[held], return_inverse=True)[1]
+    both = np.zeros((n, n), dtype=np.float32)
+    width, order = max(1, 4_000_000 // n), np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    edge = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + width, width))
+    for k, (lo, hi) in enumerate(zip(edge, edge[1:])):
+        part = np.zeros((n, width), dtype=np.float32)
+        part[row[lo:hi], column[lo:hi] - k * width] = 1
+        both += part @ part.T
+    label = np.arange(n)
+    linked = np.empty((n, n), dtype=bool)
+    for k in range(n):
+        linked[k] = _similar(both[k], size[k], size, percent)
+    while True:
+        least = np.array([label[linked[k]].min(initial=label[k]) for k in range(n)])
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _confirm_stars(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """``a, b, kind``: spanning links of each star (kind 0), and its members a with its number b (kind 1).
+
+    All pairs of a star are settled on full sets.  A star of more than
+    ``STAR_SHINGLES`` is settled in parts that all hold the hub.
+    """
+
+    def run(batches):
+        key, hub, held, ids, total, part_of = None, None, [], [], 0, 0
+
+        def settle():
+            star = int(np.int64(hash((key, part_of)) & 0x3FFFFFFFFFFFFFFF)) | 1 << 62
+            label = star_components([hub[1], *held], percent)
+            every = np.array([hub[0], *ids])
+            tied = np.flatnonzero(label != np.arange(len(label)))
+            a = np.r_[every[tied], every]
+            b = np.r_[every[label[tied]], np.full(len(every), star)]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.r_[np.zeros(len(tied), int), np.ones(len(every), int)], "int32")],
+                                              ["a", "b", "kind"])
+
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                sets = shingle_sets(part.column("text").to_pylist(), width)
+                columns = (part.column(k).to_pylist() for k in ("a", "slice", "b", "role"))
+                for a, piece, b, role, x in zip(*columns, sets):
+                    if (a, piece) != key:
+                        if held:
+                            yield settle()
+                        key, hub, held, ids, total, part_of = (a, piece), None, [], [], 0, 0
+                    if role == 0:
+                        hub = (b, x)
+                        continue
+                    held.append(x)
+                    ids.append(b)
+                    total += len(x)
+                    if total > STAR_SHINGLES:
+                        yield settle()
+                        held, ids, total, part_of = [], [], 0, part_of + 1
+        if held:
+            yield settle()
+
+    return scratch.save(_hub_rows(docs, pairs, scratch).mapInArrow(run, "a long, b long, kind int"))
+
+
+def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs ``a, b`` whose full sets satisfy 100 * intersection >= percent * union."""
 
     def run(batches):
         hub, hub_set = None, None
@@ -315,18 +415,14 @@ def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratc
                         continue
                     if x != hub:
                         raise RuntimeError(f"no hub {x} before its partner {y}")
-                    place = np.searchsorted(hub_set, s)
-                    place[place == len(hub_set)] = 0
-                    both = int((hub_set[place] == s).sum()) if len(hub_set) else 0
-                    if 100 * both >= percent * (len(hub_set) + len(s) - both) and both:
+                    both = len(np.intersect1d(hub_set, s, assume_unique=True))
+                    if _similar(both, len(hub_set), len(s), percent):
                         left.append(x)
                         right.append(y)
                 if left:
                     yield pa.RecordBatch.from_arrays([pa.array(left, "int64"), pa.array(right, "int64")], ["a", "b"])
 
-    found = scratch.save(rows.mapInArrow(run, "a long, b long"))
-    scratch.drop(ids, texts)
-    return found
+    return scratch.save(_hub_rows(docs, pairs, scratch).mapInArrow(run, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80,
@@ -349,12 +445,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
         *classes, F.col("r.doc_id").alias("id"), F.col("r.sig").alias("sig")))
     prefixed = _prefixes(reps, scratch)
     first = scratch.save(_hub_pairs(prefixed))
-    links = _confirm(docs, first, width, percent, scratch)
+    stars = _confirm_stars(docs, first, width, percent, scratch)
+    links = stars.where("kind = 0").select("a", "b")
     label = scratch.save(connected_components(links, scratch).select(F.col("node").alias("id"), "component"))
-    more = scratch.save(_cross_pairs(prefixed, label).join(
-        first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    # a short list is filled up with its own last star
+    own = F.sort_array(F.collect_set("b"))
+    member = scratch.save(stars.where("kind = 1").groupBy(F.col("a").alias("id")).agg(own.alias("s")).select(
+        "id", F.transform(F.sequence(F.lit(1), F.lit(STARS)), lambda k: F.element_at("s", F.least(k, F.size("s")))).alias("stars")))
+    more = scratch.save(_cross_pairs(prefixed, label, member))
     links = scratch.save(links.union(_confirm(docs, more, width, percent, scratch)))
-    scratch.drop(prefixed, first, more, label)
+    scratch.drop(prefixed, first, more, label, member)
     # the copies of one id or one set are linked through their representative
     least = connected_components(links, scratch)
     member = real.join(reps.select(*classes, "id"), classes).select("doc_id", F.col("id").alias("node"))
