@@ -94,7 +94,7 @@ def characterize(unknown: DataFrame, profiles: DataFrame, to_center: DataFrame,
     """
     levels = LEVELS[:-1]
     depth = F.array_position(F.array(*map(F.lit, levels)), F.col("level"))
-    fits = profiles.where(F.col("level").isin(*levels)).join(to_center, ["genome_id", "node"]).join(bounds, "node") \
+    fits = profiles.select("genome_id", "level", "node").where(F.col("level").isin(*levels)).join(to_center, ["genome_id", "node"]).join(bounds, "node") \
         .where(F.col("ani") <= F.col("max_ani")).withColumn("depth", depth)
     shared = fits.join(clusters, "genome_id").groupBy("cluster").agg(F.min(F.struct(
         (-F.col("depth")).alias("d"), "ani", "node", "level")).alias("best"))

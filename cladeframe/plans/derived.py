@@ -74,3 +74,9 @@ def distance_sql(inter: str, uni: str, k: int) -> tuple[str, str]:
     """Jaccard index and distance, as in ``cladeframe.functions.distance``."""
     j = f"((200000 * {inter} + {uni}) // (2 * {uni})) / 100000.0"
     return j, f"CASE WHEN {j} <= 0 THEN 1.0 ELSE round(least(1.0, 1.0 - (1.0 + ln(2.0 * ({j}) / (1.0 + ({j}))) / {float(k)})), 5) END"
+
+
+def mean_sql(ani: str) -> str:
+    """Mean of five-decimal distances, as in ``cladeframe.functions.distance``."""
+    total = f"sum(CAST(round({ani} * 100000) AS BIGINT))"
+    return f"((2 * {total} + count(*)) // (2 * count(*))) / 100000.0"

@@ -31,9 +31,9 @@ def _geography(spark: SparkSession, sf_dir: str) -> DataFrame:
         .union(edge("customer", "c_custkey", "C", "c_nationkey", "N")).union(edge("orders", "o_orderkey", "O", "o_custkey", "C"))
 
 
-@book(f"""WITH RECURSIVE {_GEO_SQL}, up AS (SELECT node, node AS path, parent AS at FROM edges
-  UNION ALL SELECT u.node, e.node || '|' || u.path, e.parent FROM up u JOIN edges e ON e.node = u.at)
-SELECT node, path FROM up u WHERE at IS NULL OR at NOT IN (SELECT node FROM edges)""")
+@book(f"""WITH RECURSIVE {_GEO_SQL}, up AS (SELECT node, node AS path, parent AS above FROM edges
+  UNION ALL SELECT u.node, e.node || '|' || u.path, e.parent FROM up u JOIN edges e ON e.node = u.above)
+SELECT node, path FROM up u WHERE above IS NULL OR above NOT IN (SELECT node FROM edges)""")
 def full_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.full_path(_geography(spark, sf_dir), steps=4)
 
@@ -61,7 +61,7 @@ def summary_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.summarize(tree.members(genomes(spark, sf_dir)))
 
 
-@book("""SELECT lang, source, count(*) AS documents, count_if(l.quality = 1) AS good, count_if(l.toxic = 1) AS toxic, sum(n_chars)::BIGINT AS chars
+@book("""SELECT lang, source, count(*) AS documents, count(*) FILTER (l.quality = 1) AS good, count(*) FILTER (l.toxic = 1) AS toxic, sum(n_chars)::BIGINT AS chars
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY ROLLUP (lang, source)""")
 def rollup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").rollup("lang", "source").agg(
@@ -70,13 +70,13 @@ def rollup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book("""SELECT source, lang, votes FROM (SELECT source, lang, count(*) AS votes, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS r
-FROM documents WHERE lang IS NOT NULL GROUP BY ALL) WHERE r = 1""")
+FROM documents WHERE lang IS NOT NULL GROUP BY source, lang) WHERE r = 1""")
 def majority_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.majority_label(table(spark, sf_dir, "documents"), "source", "lang").select("source", "lang", "votes")
 
 
 @book("""WITH m AS (SELECT source, lang FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS r FROM documents
-  WHERE lang IS NOT NULL GROUP BY ALL) WHERE r = 1)
+  WHERE lang IS NOT NULL GROUP BY source, lang) WHERE r = 1)
 SELECT source, CASE WHEN count(*) OVER (PARTITION BY lang) > 1 THEN lang || '__clade_' || row_number() OVER (PARTITION BY lang ORDER BY source) ELSE lang END AS assigned FROM m""")
 def clade_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = linkage.majority_label(table(spark, sf_dir, "documents"), "source", "lang")
@@ -106,7 +106,7 @@ def add_genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book(f"""WITH {GENOMES_SQL}, m AS (SELECT genome_id, is_reference, CASE WHEN taxonomy IN ('k__Docs|p__en|c__C0|o__O0|f__F0|g__G8|s__S24') THEN 'k__Docs|p__en|c__C0|o__O0|f__F0|g__G8|s__S8' ELSE taxonomy END AS taxonomy FROM genomes)
-SELECT taxonomy, count(*) AS n_genomes, count_if(is_reference) AS n_references FROM m GROUP BY taxonomy""")
+SELECT taxonomy, count(*) AS n_genomes, count(*) FILTER (is_reference) AS n_references FROM m GROUP BY taxonomy""")
 def merge_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     into = "k__Docs|p__en|c__C0|o__O0|f__F0|g__G8|s__S8"
     merged = maintain.merge(genomes(spark, sf_dir), [into, "k__Docs|p__en|c__C0|o__O0|f__F0|g__G8|s__S24"], into)
