@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from cladeframe.llm.common import Scratch
 
 UNIT = r"[^\n.!?]*[\n.!?][\n.!? \t\r]*|[^\n.!?]+"
-#: Documents whose removed runs may be broadcast; beyond that they are joined by a shuffle.
-MAX_BROADCAST_DOCS = 100_000
+#: Removed runs (16 bytes each, and 40 a document) that may be broadcast; beyond that they are joined by a shuffle.
+MAX_BROADCAST_RUNS = 200_000
 
 
 def units_of(text: Column) -> Column:
@@ -41,9 +41,10 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = 20) -> Dat
     # a pair of independent 64-bit digests stands for the unit
     hashed = one.select("doc_id", "pos", F.xxhash64("unit").alias("h1"), F.xxhash64(F.lit(20240229), "unit").alias("h2"),
                         F.when(F.col("unit") == "", 0).otherwise(F.size(F.split("unit", " "))).alias("words"))
-    again = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
+    again = scratch.save(hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"))
     met = scratch.save(hashed.join(again, ["h1", "h2"]))
-    first = met.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    first = scratch.save(met.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first")))
+    # the counts are read back, so the joins meet them by plain shuffles whose hot partitions can be split
     later = met.join(first, ["h1", "h2"]).where(F.struct("doc_id", "pos") != F.col("first")) \
         .select("doc_id", "pos", "words").distinct()
     by_doc = Window.partitionBy("doc_id").orderBy("pos")
@@ -57,7 +58,7 @@ def remove_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
     ``spans``: ``start+length`` in characters of the original text, joined by ``;``.
     """
-    small = runs.count() <= MAX_BROADCAST_DOCS
+    small = (runs.agg(F.sum(F.size("runs"))).first()[0] or 0) <= MAX_BROADCAST_RUNS
     runs = runs.select(F.col("doc_id").alias("run_doc_id"), F.col("runs").alias("run_list"))
     wide = docs.join(F.broadcast(runs) if small else runs, docs["doc_id"].cast("long") == F.col("run_doc_id"), "left")
     wide = wide.withColumn("unit_list", F.coalesce(units_of(F.col("text")), F.array().cast("array<string>")))
