@@ -14,16 +14,36 @@ def with_distance(shared: DataFrame, k: int) -> DataFrame:
         .withColumn("ani", ani_distance(F.col("jaccard"), k))
 
 
-def overlaps(bits: DataFrame) -> DataFrame:
-    """``a, b, inter`` of all pairs ``a < b`` that share a bit.
+def _classes(held: DataFrame) -> DataFrame:
+    """``bit, weight``: one bit for each set of holders, and how many bits have those holders.
 
-    Bits that only one genome holds are dropped before the join: they have no pair,
-    and there are many more of them than of shared ones.
+    ``held(bit, side, holder)``.  Neighbouring k-mers of a shared passage have the same
+    holders, so the joins below see a passage once and not once per k-mer.  Holder
+    sets are told apart by two 64-bit digests.  Bits that are not held on both sides
+    (or, with one side, only once) have no pair and are left out.
     """
-    shared = bits.groupBy("bit").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("bit")
-    held = bits.join(shared, "bit", "left_semi")
-    left, right = held.withColumnRenamed("genome_id", "a"), held.withColumnRenamed("genome_id", "b")
-    return left.join(right, "bit").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("inter"))
+    sets = held.groupBy("bit").agg(
+        F.count_if(F.col("side") == 0).alias("left"), F.count_if(F.col("side") == 1).alias("right"),
+        F.bit_xor(F.xxhash64("side", "holder")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "side", "holder")).alias("y"))
+    return sets.groupBy("left", "right", "x", "y").agg(F.min("bit").alias("bit"), F.count(F.lit(1)).alias("weight"))
+
+
+def overlaps(bits: DataFrame) -> DataFrame:
+    """``a, b, inter`` of all pairs ``a < b`` that share a bit."""
+    held = bits.select("bit", F.lit(0).alias("side"), F.col("genome_id").alias("holder"))
+    shared = _classes(held).where("left > 1").select("bit", "weight")
+    kept = bits.join(shared, "bit")
+    left = kept.select("bit", "weight", F.col("genome_id").alias("a"))
+    right = kept.select("bit", F.col("genome_id").alias("b"))
+    return left.join(right, "bit").where("a < b").groupBy("a", "b").agg(F.sum("weight").alias("inter"))
+
+
+def _common(q: DataFrame, t: DataFrame) -> DataFrame:
+    """``query, target, common`` of all pairs that share a bit."""
+    held = q.select("bit", F.lit(0).alias("side"), F.col("query").cast("string").alias("holder")).union(
+        t.select("bit", F.lit(1), F.col("target").cast("string")))
+    shared = _classes(held).where("left > 0 and right > 0").select("bit", "weight")
+    return q.join(shared, "bit").join(t, "bit").groupBy("query", "target").agg(F.sum("weight").alias("common"))
 
 
 def pairwise(bits: DataFrame, k: int) -> DataFrame:
@@ -51,7 +71,7 @@ def cross_distance(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     t = targets.select(F.col("genome_id").alias("target"), "bit")
     nq = q.groupBy("query").agg(F.count(F.lit(1)).alias("nq"))
     nt = t.groupBy("target").agg(F.count(F.lit(1)).alias("nt"))
-    found = q.join(t, "bit").groupBy("query", "target").agg(F.count(F.lit(1)).alias("inter"))
+    found = _common(q, t).withColumnRenamed("common", "inter")
     found = found.join(nq, "query").join(nt, "target").select(
         "query", "target", "inter", (F.col("nq") + F.col("nt") - F.col("inter")).alias("uni"))
     return with_distance(found, k)
@@ -65,7 +85,7 @@ def containment(queries: DataFrame, targets: DataFrame) -> DataFrame:
     q = queries.select(F.col("genome_id").alias("query"), "bit")
     t = targets.select(F.col("genome_id").alias("target"), "bit")
     total = q.groupBy("query").agg(F.count(F.lit(1)).alias("total"))
-    return q.join(t, "bit").groupBy("query", "target").agg(F.count(F.lit(1)).alias("common")).join(total, "query") \
+    return _common(q, t).join(total, "query") \
         .withColumn("score", F.round(F.col("common") / F.col("total"), 8))
 
 
