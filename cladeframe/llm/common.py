@@ -1,14 +1,8 @@
-"""Helpers shared by the corpus operators.
-
-Intermediate tables that are read more than once are written as Parquet below
-``spark.checkpoint.dir`` (a folder that the driver and all executors share),
-so a lost executor costs a re-read and never a recomputation of the lineage.
-"""
+"""Helpers shared by the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 
 import numpy as np
 import pyarrow as pa
@@ -16,38 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="cladeframe-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-class Scratch:
-    """Parquet tables in the shared folder, removed one by one when used up."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self._n = 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return it read back; ``df.scratch_path`` names it."""
-        self._n += 1
-        path = f"{self.root}/{self._n}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+from cladeframe.storage import Scratch  # noqa: F401
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +22,7 @@ def crc32_mod(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string")) % F.lit(modulus)
 
 
-def chunks(batch: pa.RecordBatch, text: str, max_rows: int = 2048, max_bytes: int = 8 << 20):
+def chunks(batch: pa.RecordBatch, text: str, max_rows: int = 2048, max_bytes: int = 3 << 20):
     """Slices of an Arrow batch that hold a bounded amount of text each."""
     sizes = np.asarray(pc.binary_length(batch.column(text)).fill_null(0))
     start, held = 0, 0
@@ -72,6 +35,14 @@ def chunks(batch: pa.RecordBatch, text: str, max_rows: int = 2048, max_bytes: in
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, beside a full heap."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def map_texts(df: DataFrame, fn, schema: str, text: str = "text") -> DataFrame:
     """``mapInArrow`` over bounded slices; ``fn(slice) -> pa.RecordBatch | None``."""
 
@@ -81,6 +52,7 @@ def map_texts(df: DataFrame, fn, schema: str, text: str = "text") -> DataFrame:
                 out = fn(part)
                 if out is not None:
                     yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import Scratch, chunks, map_texts, ragged
+from cladeframe.llm.common import chunks, give_back, map_texts, ragged, Scratch
 from cladeframe.llm.components import connected_components
 
 #: A pair at the threshold of 0.8 agrees in fewer than 13 of 32 coordinates in about 3 of 10 million cases ...
@@ -395,6 +395,7 @@ def _confirm_stars(docs: DataFrame, pairs: DataFrame, width: int, percent: int,
                         held, ids, total, part_of = [], [], 0, part_of + 1
         if held:
             yield settle()
+        give_back()
 
     return scratch.save(_hub_rows(docs, pairs, scratch).mapInArrow(run, "a long, b long, kind int"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.llm import bytebpe
-from cladeframe.llm.common import Scratch, chunks, ragged
+from cladeframe.llm.common import chunks, give_back, ragged, Scratch
 from cladeframe.llm.tokens import vocabulary
 
 #: Partitions whose totals may be broadcast (a row of 24 bytes each).
@@ -57,6 +57,7 @@ def tokenize(df: DataFrame, scratch: Scratch, model: str = "byte_bpe_50k.json",
                     pa.array(n, "int64"), pa.array(np.full(len(n), wide)), blobs],
                     ["part", "before", "doc_id", "n", "wide", "ids"])
                 before += int(end[-1])
+        give_back()
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return scratch.save(docs.mapInArrow(run, "part int, before long, doc_id long, n long, wide boolean, ids binary"))

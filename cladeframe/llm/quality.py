@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from cladeframe.llm.common import chunks, map_texts
+from cladeframe.llm.common import chunks, give_back, map_texts
 from cladeframe.llm.labelled import MAX_TRAINING_ROWS, training_rows
 
 STATISTICS = ("log_words", "log_word_length", "upper", "digits", "symbols", "bars", "stops", "distinct", "repeats",
@@ -148,6 +148,7 @@ def score_quality(docs: DataFrame, model: Quadratic, text_col: str = "text", thr
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(s), pa.array((s >= threshold).astype("int32"))],
                     [*part.schema.names, "quality_score", "quality_predicted"])
+        give_back()
 
 
 

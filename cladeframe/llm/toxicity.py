@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from cladeframe.llm.common import Scratch, chunks
+from cladeframe.llm.common import chunks, give_back, Scratch
 from cladeframe.llm.labelled import MAX_TRAINING_ROWS, training_rows
 
 # Seed words of the transducers (English, German, French, Spanish).
@@ -254,6 +254,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, text_col: str = "text", th
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(s), pa.array((s >= threshold).astype("int32"))],
                     [*part.schema.names, "toxicity_score", "toxicity_predicted"])
+        give_back()
 
     schema = StructType([*docs.schema.fields, StructField("toxicity_score", DoubleType()),
                          StructField("toxicity_predicted", IntegerType())])
