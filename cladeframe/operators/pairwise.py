@@ -38,11 +38,16 @@ def overlaps(bits: DataFrame) -> DataFrame:
     return left.join(right, "bit").where("a < b").groupBy("a", "b").agg(F.sum("weight").alias("inter"))
 
 
-def _common(q: DataFrame, t: DataFrame) -> DataFrame:
-    """``query, target, common`` of all pairs that share a bit."""
+def shared_classes(q: DataFrame, t: DataFrame) -> DataFrame:
+    """``bit, weight`` of the bits that ``q(query, bit)`` and ``t(target, bit)`` share, one for each set of holders."""
     held = q.select("bit", F.lit(0).alias("side"), F.col("query").cast("string").alias("holder")).union(
         t.select("bit", F.lit(1), F.col("target").cast("string")))
-    shared = _classes(held).where("left > 0 and right > 0").select("bit", "weight")
+    return _classes(held).where("left > 0 and right > 0").select("bit", "weight")
+
+
+def _common(q: DataFrame, t: DataFrame) -> DataFrame:
+    """``query, target, common`` of all pairs that share a bit."""
+    shared = shared_classes(q, t)
     return q.join(shared, "bit").join(t, "bit").groupBy("query", "target").agg(F.sum("weight").alias("common"))
 
 

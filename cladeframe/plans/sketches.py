@@ -113,14 +113,14 @@ def dense_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise.dense(found, rows.select("genome_id", "taxonomy"), "taxonomy")
 
 
-@book(f"""WITH RECURSIVE {_PAIRS_SQL}, close AS (SELECT a, b FROM pairs WHERE ani <= 0.01),
-ordered AS (SELECT genome_id, row_number() OVER (ORDER BY genome_id) AS i FROM genomes),
-walk(i, kept) AS (
+@book(f"""WITH RECURSIVE {_PAIRS_SQL}, close AS MATERIALIZED (SELECT a, b FROM pairs WHERE ani <= 0.01),
+ordered AS MATERIALIZED (SELECT b, row_number() OVER (ORDER BY b) AS i FROM (SELECT DISTINCT b FROM close)),
+walk(i, dropped) AS (
   SELECT 0::BIGINT, []::BIGINT[]
   UNION ALL
-  SELECT o.i, CASE WHEN EXISTS (SELECT 1 FROM close c WHERE c.b = o.genome_id AND list_contains(w.kept, c.a)) THEN w.kept ELSE list_append(w.kept, o.genome_id) END
+  SELECT o.i, CASE WHEN EXISTS (SELECT 1 FROM close c WHERE c.b = o.b AND NOT list_contains(w.dropped, c.a)) THEN list_append(w.dropped, o.b) ELSE w.dropped END
   FROM walk w JOIN ordered o ON o.i = w.i + 1)
-SELECT unnest(kept) AS genome_id FROM walk WHERE i = (SELECT max(i) FROM walk)""")
+SELECT genome_id FROM genomes WHERE NOT list_contains((SELECT dropped FROM walk ORDER BY i DESC LIMIT 1), genome_id)""")
 def dereplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     close = scratch.save(pairwise.replicas(pairwise.pairwise(bits(genomes(spark, sf_dir)), K), 0.01).select("a", "b"))
