@@ -84,7 +84,7 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def read_names(spark: SparkSession, path: str, classes=("scientific name", "equivalent name", "synonym")) -> DataFrame:
     """``taxid, name, class`` of a names dump: kept classes, normalised, the last name of a taxid per name wins."""
-    cells = F.transform(F.split("value", r"\|"), F.trim)
+    cells = F.transform(F.split("value", r"\|"), lambda c: F.trim(c))
     rows = _lines(spark, path).select(cells.alias("c"), "line_no").select(
         F.regexp_replace(F.col("c")[0], r"\s", "").cast("bigint").alias("taxid"), F.trim(F.regexp_replace(F.col("c")[1], "\t", "")).alias("raw"),
         F.trim(F.regexp_replace(F.col("c")[3], "\t", "")).alias("class"), "line_no").where(F.col("class").isin(*classes))
