@@ -7,7 +7,7 @@ unions, intersections and densities are hash aggregates and equi-joins on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Characters of one chunk; a chunk is cut from its text once, k-mers from the chunk.
@@ -110,3 +110,20 @@ def packed_union(packed: DataFrame, groups: DataFrame, by: str) -> DataFrame:
     """OR of packed sketches, bucket by bucket."""
     return packed.join(groups, "genome_id").groupBy(F.col(by).alias("genome_id"), "bucket").agg(
         F.bitmap_or_agg("bits").alias("bits"))
+
+
+def length_curve(df: DataFrame, lengths: list[int], **options) -> DataFrame:
+    """``k, total, n_distinct, share``: how specific k-mers of each length are to their place."""
+    out = None
+    for k in lengths:
+        row = kmers(df, k, **options).groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("n_distinct")).select(F.lit(k).alias("k"), "total", "n_distinct")
+        out = row if out is None else out.union(row)
+    return out.withColumn("share", F.when(F.col("total") > 0, F.round(F.col("n_distinct") / F.col("total"), 6)).otherwise(F.lit(0.0)))
+
+
+def choose_length(curve: DataFrame, least_gain: float = 0.05) -> DataFrame:
+    """``k``: the shortest length after which the share of distinct k-mers grows by less than ``least_gain``."""
+    step = F.lead("share").over(Window.orderBy("k")) - F.col("share")
+    flat = curve.withColumn("gain", F.coalesce(step, F.lit(0.0))).where(F.col("gain") < least_gain)
+    return flat.agg(F.min("k").alias("k"))

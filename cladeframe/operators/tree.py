@@ -80,3 +80,23 @@ def violations(entries: DataFrame) -> DataFrame:
     }
     found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(p)) for p, c in checks.items()]))
     return entries.select("entry_id", F.explode(found).alias("problem"))
+
+
+def taxonomy_exists(labels: DataFrame, genomes: DataFrame) -> DataFrame:
+    """``taxonomy, exists``: whether all seven levels of a label are named in the database.
+
+    Levels are looked up by name alone, as names are unique within a level there.
+    """
+    names = paths(genomes).select("depth", F.substring_index("node", "|", -1).alias("name")).distinct()
+    asked = labels.where(is_defined(F.col("taxonomy"))).select("taxonomy", F.posexplode(F.split("taxonomy", r"\|")).alias("pos", "name"))
+    hits = asked.join(names.withColumn("pos", F.col("depth") - 1), ["pos", "name"], "left_semi").groupBy("taxonomy").agg(
+        F.count_distinct("pos").alias("levels"))
+    return labels.select("taxonomy").distinct().join(hits, "taxonomy", "left").select(
+        "taxonomy", (F.coalesce("levels", F.lit(0)) == len(LEVELS)).alias("exists"))
+
+
+def totals(genomes: DataFrame) -> DataFrame:
+    """One row: genomes, references, MAGs, species and clusters of a database."""
+    counts = genomes.agg(F.count(F.lit(1)).alias("genomes"), F.count_if("is_reference").alias("references"), F.count_if(~F.col("is_reference")).alias("mags"))
+    tree = nodes(genomes).agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("level") == LEVELS[-1]).alias("species"))
+    return counts.crossJoin(tree)

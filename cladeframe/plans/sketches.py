@@ -43,6 +43,23 @@ def filter_size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.filter_size(sketch.histogram(sketch.kmers(genomes(spark, sf_dir), SHORT_K)))
 
 
+_LENGTHS = (5, 9, 13, 17, 21)
+_CURVE_SQL = f"""WITH {GENOMES_SQL}, curve AS (""" + " UNION ALL ".join(f"""
+  SELECT {k} AS k, coalesce(sum(n), 0)::BIGINT AS total, count(*) AS n_distinct FROM (SELECT kmer, count(*) AS n FROM (
+    SELECT substr(seq, CAST(i AS BIGINT), {k}) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - {k} + 2)) AS i FROM genomes)) GROUP BY kmer)"""
+    for k in _LENGTHS) + "), shares AS (SELECT *, CASE WHEN total > 0 THEN round(n_distinct / total, 6) ELSE 0.0 END AS share FROM curve)"
+
+
+@book(_CURVE_SQL + " SELECT k, total, n_distinct, share FROM shares")
+def kmer_length_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.length_curve(genomes(spark, sf_dir), list(_LENGTHS))
+
+
+@book(_CURVE_SQL + """ SELECT min(k) AS k FROM (SELECT k, coalesce(lead(share) OVER (ORDER BY k) - share, 0) AS gain FROM shares) WHERE gain < 0.05""")
+def kmer_length_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.choose_length(sketch.length_curve(genomes(spark, sf_dir), list(_LENGTHS)))
+
+
 _DNA_SQL = "dna AS (SELECT doc_id AS genome_id, translate(md5(doc_id::VARCHAR) || md5('x' || doc_id), '0123456789abcdef', 'ACGTACGTACGTACGN') AS seq FROM documents)"
 
 

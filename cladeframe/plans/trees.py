@@ -61,6 +61,21 @@ def summary_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.summarize(tree.members(genomes(spark, sf_dir)))
 
 
+@book(f"""WITH {PATHS_SQL}, known AS (SELECT DISTINCT depth, string_split(node, '|')[-1] AS name FROM paths WHERE is_reference AND genome_id % 3 = 0),
+asked AS (SELECT DISTINCT taxonomy FROM genomes),
+hits AS (SELECT taxonomy, count(*) AS n FROM asked, (SELECT unnest(range(1, 8)) AS d) JOIN known ON depth = d AND name = string_split(taxonomy, '|')[d] GROUP BY taxonomy)
+SELECT a.taxonomy, coalesce(n, 0) = 7 AS exists FROM asked a LEFT JOIN hits h ON h.taxonomy = a.taxonomy""")
+def taxonomy_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = genomes(spark, sf_dir)
+    return tree.taxonomy_exists(rows, rows.where("is_reference and genome_id % 3 = 0"))
+
+
+@book(f"""WITH {PATHS_SQL} SELECT count(*) AS genomes, count(*) FILTER (is_reference) AS references, count(*) FILTER (NOT is_reference) AS mags,
+  (SELECT count(*) FROM members) AS clusters, (SELECT count(*) FROM members WHERE level = 'species') AS species FROM genomes""")
+def database_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.totals(genomes(spark, sf_dir))
+
+
 @book("""SELECT lang, source, count(*) AS documents, count(*) FILTER (l.quality = 1) AS good, count(*) FILTER (l.toxic = 1) AS toxic, sum(n_chars)::BIGINT AS chars
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY ROLLUP (lang, source)""")
 def rollup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Parquet tables in the shared folder, removed one by one when used up."""
+    """Parquet tables in the shared folder.
+
+    They can be dropped one by one when used up; what is left goes when the driver's
+    JVM ends, since results may be lazy until then.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -35,6 +39,9 @@ class Scratch:
         self._n += 1
         path = f"{self.root}/{self._n}"
         df.write.option("compression", "zstd").parquet(path)
+        if self._n == 1:
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
