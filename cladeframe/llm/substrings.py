@@ -1,7 +1,8 @@
 """Substring deduplication by hashing the units of a text.
 
-A unit is a sentence or the end of a line with the white space after it, so the
-units of a text put together are the text.  Digests of the normalised units
+A unit is a line, or the part of one up to a punctuation mark, with the white space
+after it, so the units of a text put together are the text.  Parts are needed for
+passages that stand inside a line: their inner clauses are the same everywhere.  Digests of the normalised units
 (lower case, single blanks) are grouped over all documents; the occurrence with
 the least (doc_id, position) is kept.  A run of neighbouring units that all
 occurred earlier is removed if it has at least ``min_words`` words, so that
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.llm.common import Scratch
 
-UNIT = r"[^\n.!?]*[\n.!?][\n.!? \t\r]*|[^\n.!?]+"
+UNIT = r"[^\n.,;:!?]*[\n.,;:!?][\n.,;:!? \t\r]*|[^\n.,;:!?]+"
 #: Removed runs (16 bytes each, and 40 a document) that may be broadcast; beyond that they are joined by a shuffle.
 MAX_BROADCAST_RUNS = 200_000
 

@@ -16,7 +16,7 @@ def plain_passages(rows):
     """Earliest unit kept; runs of 20 words of later ones go."""
     import re
 
-    pattern = re.compile(r"[^\n.!?]*[\n.!?][\n.!? \t\r]*|[^\n.!?]+")
+    pattern = re.compile(r"[^\n.,;:!?]*[\n.,;:!?][\n.,;:!? \t\r]*|[^\n.,;:!?]+")
     seen, out = set(), {}
     for i, text in sorted(rows):
         kept, run, n = [], [], 0
