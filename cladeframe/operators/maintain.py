@@ -30,10 +30,9 @@ def add(genomes: DataFrame, clusters: DataFrame) -> DataFrame:
     reused = missing.where(is_cluster_id(named)).select(named.alias("cluster_id"), F.col("node").alias("name"), "level", "parent")
     fresh = missing.where(~is_cluster_id(named))
     used = clusters.select("cluster_id").union(reused.select("cluster_id"))
-    top = used.agg(F.coalesce(F.max(cluster_number(F.col("cluster_id"))), F.lit(0)).alias("top"))
-    number = F.row_number().over(Window.orderBy(F.desc("depth"), "node"))
-    new = fresh.withColumn("_n", number).crossJoin(F.broadcast(top)).select(
-        F.concat(F.lit("MSBT"), (F.col("_n") + F.col("top")).cast("string")).alias("cluster_id"), F.col("node").alias("name"), "level", "parent")
+    top = used.agg(F.coalesce(F.max(cluster_number(F.col("cluster_id"))), F.lit(0))).first()[0]
+    new = allocate_ids(fresh.withColumn("_up", -F.col("depth")), ["_up", "node"], top).select(
+        "cluster_id", F.col("node").alias("name"), "level", "parent")
     columns = ["cluster_id", "name", "level", "parent"]
     return clusters.select(*columns).unionByName(reused.select(*columns)).unionByName(new.select(*columns))
 

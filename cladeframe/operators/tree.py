@@ -98,5 +98,5 @@ def taxonomy_exists(labels: DataFrame, genomes: DataFrame) -> DataFrame:
 def totals(genomes: DataFrame) -> DataFrame:
     """One row: genomes, references, MAGs, species and clusters of a database."""
     counts = genomes.agg(F.count(F.lit(1)).alias("genomes"), F.count_if("is_reference").alias("references"), F.count_if(~F.col("is_reference")).alias("mags"))
-    tree = nodes(genomes).agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("level") == LEVELS[-1]).alias("species"))
-    return counts.crossJoin(tree)
+    clusters, species = nodes(genomes).agg(F.count(F.lit(1)), F.count_if(F.col("level") == LEVELS[-1])).first()
+    return counts.withColumns({"clusters": F.lit(clusters).cast("long"), "species": F.lit(species).cast("long")})
