@@ -43,7 +43,11 @@ def genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [F.lit("k__Docs|p__"), F.coalesce("lang", F.lit("none"))]
     for prefix, name, n in (("c", "C", 2), ("o", "O", 4), ("f", "F", 8), ("g", "G", 16), ("s", "S", 32)):
         parts += [F.lit(f"|{prefix}__{name}"), (F.col("doc_id") % n).cast("string")]
-    return table(spark, sf_dir, "documents").select(
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        # a file of one row group is one task; k-mers are many times its size
+        docs = docs.repartition(cores)
+    return docs.select(
         F.col("doc_id").alias("genome_id"), F.col("text").alias("seq"), (F.col("doc_id") % 5 != 0).alias("is_reference"),
         F.concat(*parts).alias("taxonomy"))
 
