@@ -37,6 +37,7 @@ def chunks(batch: pa.RecordBatch, text: str, max_rows: int = 2048, max_bytes: in
 
 def give_back() -> None:
     """Return freed memory to the system: Python workers live on between tasks, beside a full heap."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except AttributeError:  # another C library
