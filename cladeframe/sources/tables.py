@@ -149,14 +149,16 @@ def write_snapshot(tables: dict[str, DataFrame], path: str, snapshot_id: int) ->
 def read_snapshot(spark: SparkSession, path: str, names: list[str], snapshot_id: int | None = None) -> dict[str, DataFrame]:
     """The tables of a snapshot, by default the last one.
 
-    Genomes without a sketch are an error, as a database can't be opened without them.
+    Genomes without a sketch are an error, as a database can't be opened without them;
+    one with a null taxonomy may be too short for any k-mer.
     """
     out = {n: spark.read.parquet(f"{path}/{n}") for n in names}
     if snapshot_id is None:
         snapshot_id = out[names[0]].agg(F.max("snapshot_id")).first()[0]
     out = {n: t.where(F.col("snapshot_id") == snapshot_id).drop("snapshot_id") for n, t in out.items()}
     if {"genomes", "bits"} <= out.keys():
-        lost = out["genomes"].select("genome_id").join(out["bits"].select("genome_id"), "genome_id", "left_anti").first()
+        named = out["genomes"].where("taxonomy is not null") if "taxonomy" in out["genomes"].columns else out["genomes"]
+        lost = named.select("genome_id").join(out["bits"].select("genome_id"), "genome_id", "left_anti").first()
         if lost:
             raise FileNotFoundError(f"no sketch of genome {lost[0]}")
     return out

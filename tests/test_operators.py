@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.operators import etl, linkage, maintain, medoid, pairwise, sketch, tree
 from cladeframe.plans import lifecycle
+from cladeframe.sources import tables
 from cladeframe.storage import Scratch
 
 A = "k__A|p__B|c__C|o__D|f__E|g__F|s__"
@@ -131,3 +132,21 @@ def test_index_and_update(spark):
     assert labels[21] == A + "G1" and labels[22] == A + "new22"
     assert after["clusters"].where(F.col("name") == A + "new22").first().cluster_id == "MSBT10"
     assert after["medoids"].count() == 3
+
+
+def test_update_keeps_genomes_without_a_profile(spark, tmp_path):
+    """A stranger without a common k-mer, one shorter than k, an empty and a null one stay, and harm no later update."""
+    r = random.Random(12)
+    base = ["".join(r.choice("ACGT") for _ in range(600)) for _ in range(2)]
+    scratch = Scratch(spark)
+    made = lifecycle.index(genomes(spark, [(i, mutated(r, base[0], 0.005), True, A + "G1") for i in range(4)]), None, scratch, 11, 1)
+    new = spark.createDataFrame([(20, base[1].lower()), (21, "ACGT"), (22, ""), (23, None), (24, mutated(r, base[0], 0.005))], "genome_id long, seq string")
+    after = lifecycle.update(made, new, scratch, 11, 1, dereplicate=0.001)
+    assert {x.genome_id: x.taxonomy for x in after["genomes"].collect()} == {i: A + "G1" for i in (0, 1, 2, 3, 24)} | dict.fromkeys((20, 21, 22, 23))
+    assert after["bits"].where("genome_id = 20").count() == 590 and after["medoids"].count() == 1 and after["clusters"].count() == 7
+    names = ["genomes", "bits", "clusters", "medoids", "metadata"]
+    tables.write_snapshot({n: after[n] for n in names}, str(tmp_path), 1)
+    again = spark.createDataFrame([(30, base[1].lower()), (31, base[0])], "genome_id long, seq string")
+    later = lifecycle.update(tables.read_snapshot(spark, str(tmp_path), names), again, scratch, 11, 1)
+    labels = {x.genome_id: x.taxonomy for x in later["genomes"].collect()}
+    assert len(labels) == 11 and labels[30] is None and labels[31] == A + "G1"
