@@ -6,10 +6,13 @@ parent)``; names of clusters are label prefixes.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions.taxonomy import LEVELS, cluster_number, is_cluster_id, last_part
+from cladeframe.operators.linkage import place
 from cladeframe.operators.tree import nodes
 
 
@@ -82,23 +85,68 @@ def summarize(nodes_table: DataFrame) -> DataFrame:
         F.sum(F.col("n_genomes") - F.col("n_references")).alias("mags"))
 
 
-def characterize(unknown: DataFrame, profiles: DataFrame, to_center: DataFrame, bounds: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``genome_id, level, node``: the deepest node that takes each unknown genome.
+def components(edges: DataFrame, keep, max_rounds: int = 100) -> DataFrame:
+    """``node, component``: the least node that each end of ``edges(a, b)`` can reach."""
+    links = keep(edges.union(edges.select("b", "a")).distinct())
+    now = keep(links.groupBy("a").agg(F.least("a", F.min("b")).alias("c")).select(F.col("a").alias("node"), F.col("c").alias("component")))
+    for _ in range(max_rounds):
+        near = links.join(now.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
+        met = now.join(near, F.col("node") == F.col("a")).select("node", F.least("component", "c").alias("low"), "component")
+        # a node's component is a node too, whose own may be less by now
+        new = keep(met.join(now.select(F.col("node").alias("low"), F.col("component").alias("lower")), "low")
+                   .select("node", "lower", "component"))
+        if new.where("lower <> component").isEmpty():
+            return now
+        now = new.select("node", F.col("lower").alias("component"))
+    raise RuntimeError("components did not settle")
+
+
+def characterize(unknown: DataFrame, profiles: DataFrame, to_center: DataFrame, bounds: DataFrame, children: DataFrame,
+                 pairs: DataFrame, keep=lambda df: df) -> DataFrame:
+    """``genome_id, level, node, taxonomy``: the deepest node that takes each unknown genome, and its label completed to species.
 
     ``profiles(genome_id, level, node)``: the best node per level; ``to_center(genome_id, node,
-    ani)``; ``bounds(node, max_ani)``; ``clusters(genome_id, cluster)``: linkage clusters of the
-    unknowns.  From genus up to kingdom an unknown fits if it is within the node's
-    boundary; its whole cluster follows the deepest fit (ties to the least distance, then
-    the least node).  Unknowns that fit nowhere have a null node.
+    ani)``; ``bounds(node, max_ani)``; ``children(node, below)`` (``medoid.child_boundaries``);
+    ``pairs(a, b, ani)`` of the unknowns, others are at distance 1.  The unknowns share a
+    dendrogram (``linkage.place``).  Those without a chain of pairs between them never meet
+    below a cut of 1, so each such component is a group of its own, unless a boundary
+    is 1.  Unknowns that fit nowhere have a null node.
     """
     levels = LEVELS[:-1]
-    depth = F.array_position(F.array(*map(F.lit, levels)), F.col("level"))
-    fits = profiles.select("genome_id", "level", "node").where(F.col("level").isin(*levels)).join(to_center, ["genome_id", "node"]).join(bounds, "node") \
-        .where(F.col("ani") <= F.col("max_ani")).withColumn("depth", depth)
-    shared = fits.join(clusters, "genome_id").groupBy("cluster").agg(F.min(F.struct(
-        (-F.col("depth")).alias("d"), "ani", "node", "level")).alias("best"))
-    return unknown.select("genome_id").join(clusters, "genome_id", "left").join(shared, "cluster", "left").select(
-        "genome_id", F.col("best.level").alias("level"), F.col("best.node").alias("node"))
+    depth = F.array_position(F.array(*map(F.lit, levels)), F.col("level")).cast("int")
+    fits = keep(profiles.select("genome_id", "level", "node").where(F.col("level").isin(*levels)).join(to_center.select("genome_id", "node", "ani"), ["genome_id", "node"])
+                .join(bounds.select("node", "max_ani"), "node").where(F.col("ani") <= F.col("max_ani")).join(children, "node")
+                .select("genome_id", depth.alias("depth"), "node", "max_ani", "below"))
+    each = fits.groupBy("genome_id").agg(F.collect_list(F.struct("depth", "node", "max_ani", "below")).alias("fits"))
+    pairs = keep(pairs.where("ani < 1").select("a", "b", "ani"))
+    # digests may clash, which only joins two groups into one
+    one = F.lit(0).cast("long")
+    if fits.where("max_ani >= 1 or exists(below, x -> x >= 1)").isEmpty():
+        parts = components(pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")), keep)
+        members = unknown.select("genome_id", F.xxhash64("genome_id").alias("node")).join(parts, "node", "left") \
+            .select("genome_id", F.coalesce("component", "node").alias("g"))
+    else:
+        members = unknown.select("genome_id", one.alias("g"))
+    members = keep(members.distinct().join(each, "genome_id", "left"))
+    links = pairs.join(members.select(F.col("genome_id").alias("a"), F.col("g").alias("h")), "a").select("h", "a", "b", "ani")
+    kind = unknown.schema["genome_id"].dataType.simpleString()
+
+    def run(rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("genome_id", ignore_index=True)
+        ids = rows["genome_id"]
+        where = pd.Series(np.arange(len(ids)), index=ids)
+        d = np.ones((len(ids), len(ids)))
+        a, b = where[near["a"]].to_numpy(), where[near["b"]].to_numpy()
+        d[a, b] = d[b, a] = near["ani"]
+        own = [[(f["depth"], f["node"], f["max_ani"], [None if x is None or np.isnan(x) else float(x) for x in f["below"]]) for f in held]
+               if held is not None else [] for held in rows["fits"]]
+        got = place(d, own, ids.tolist())
+        return pd.DataFrame({"genome_id": ids, "node": [x and x[0] for x in got], "taxonomy": [x and x[1] for x in got]})
+
+    # pairs with others than the unknowns do not count
+    links = links.join(unknown.select(F.col("genome_id").alias("b")).distinct(), "b", "left_semi")
+    out = members.groupBy("g").cogroup(links.groupBy("h")).applyInPandas(run, f"genome_id {kind}, node string, taxonomy string")
+    return out.select("genome_id", F.when(F.col("node").isNotNull(), F.element_at(F.array(*map(F.lit, levels)), F.size(F.split("node", r"\|")))).alias("level"), "node", "taxonomy")
 
 
 def expand(assigned: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -150,3 +150,28 @@ def test_update_keeps_genomes_without_a_profile(spark, tmp_path):
     later = lifecycle.update(tables.read_snapshot(spark, str(tmp_path), names), again, scratch, 11, 1)
     labels = {x.genome_id: x.taxonomy for x in later["genomes"].collect()}
     assert len(labels) == 11 and labels[30] is None and labels[31] == A + "G1"
+
+
+def test_unknowns_are_cut_at_the_boundary_of_each_level(spark):
+    """1 fits the family and takes along 2 and 3, but not 4; 5 fits the phylum; 6 has no pair."""
+    F5, P2 = "k__A|p__B|c__C|o__D|f__E", "k__A|p__B"
+    unknown = spark.createDataFrame([(i,) for i in range(1, 7)], "genome_id long")
+    profiles = spark.createDataFrame([(1, "family", F5, 0.2), (5, "phylum", P2, 0.3), (4, "family", F5, 0.9)], "genome_id long, level string, node string, ani double")
+    bounds = spark.createDataFrame([(F5, 0.25), (P2, 0.4), (F5 + "|g__F", 0.1), (P2 + "|c__C", 0.35)], "node string, max_ani double")
+    rows = genomes(spark, [(100, "x", True, A + "G1")])
+    pairs = spark.createDataFrame([(1, 2, 0.04), (1, 3, 0.2), (2, 3, 0.2), (1, 4, 0.8), (2, 4, 0.8), (3, 4, 0.8), (4, 5, 0.5)], "a long, b long, ani double")
+    scratch = Scratch(spark)
+    children = medoid.child_boundaries(rows, bounds)
+    assert {r.node: r.below for r in children.collect()}[P2] == [0.35, None, 0.25, 0.1]
+    got = {r.genome_id: (r.level, r.node, r.taxonomy) for r in maintain.characterize(unknown, profiles, profiles, bounds, children, pairs, scratch.save).collect()}
+    first = ("family", F5, F5 + "|g__new1|s__new1")
+    assert got[1] == got[2] == first and got[3] == ("family", F5, F5 + "|g__new3|s__new3")
+    assert got[5] == ("phylum", P2, P2 + "|c__new5|o__new5|f__new5|g__new5|s__new5")
+    assert got[4] == got[6] == (None, None, None)
+
+
+def test_genomes_of_one_genus_and_two_species():
+    d = np.array([[0, 0.2, 0.09], [0.2, 0, 0.2], [0.09, 0.2, 0]])
+    fits = [[(5, "f", 0.3, [0.1])], [], []]
+    assert linkage.place(d, fits, [1, 2, 3]) == [("f", "f|g__new1|s__new1"), ("f", "f|g__new2|s__new2"), ("f", "f|g__new1|s__new3")]
+    assert linkage.place(d, [[(5, "f", 0.1, [None])], [], []], ["a", "b", "c"]) == [("f", "f|g__newa|s__newa"), None, ("f", "f|g__newc|s__newc")]
