@@ -147,18 +147,3 @@ def characterize(unknown: DataFrame, profiles: DataFrame, to_center: DataFrame,
     links = links.join(unknown.select(F.col("genome_id").alias("b")).distinct(), "b", "left_semi")
     out = members.groupBy("g").cogroup(links.groupBy("h")).applyInPandas(run, f"genome_id {kind}, node string, taxonomy string")
     return out.select("genome_id", F.when(F.col("node").isNotNull(), F.element_at(F.array(*map(F.lit, levels)), F.size(F.split("node", r"\|")))).alias("level"), "node", "taxonomy")
-
-
-def expand(assigned: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Partial labels completed to species: one new name per level for each linkage cluster.
-
-    ``assigned(genome_id, node)``, ``clusters(genome_id, cluster)``; names carry the cluster's
-    least member, so they do not depend on the order of rows.
-    """
-    out = assigned.where("node is not null").join(clusters, "genome_id")
-    size = F.size(F.split("node", r"\|"))
-    label = F.col("node")
-    for i, prefix in enumerate(("k", "p", "c", "o", "f", "g", "s")):
-        part = F.concat(label, F.lit(f"|{prefix}__new"), F.col("cluster").cast("string"))
-        label = F.when(size <= i, part).otherwise(label)
-    return out.select("genome_id", label.alias("taxonomy"))

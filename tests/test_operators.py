@@ -175,3 +175,18 @@ def test_genomes_of_one_genus_and_two_species():
     fits = [[(5, "f", 0.3, [0.1])], [], []]
     assert linkage.place(d, fits, [1, 2, 3]) == [("f", "f|g__new1|s__new1"), ("f", "f|g__new2|s__new2"), ("f", "f|g__new1|s__new3")]
     assert linkage.place(d, [[(5, "f", 0.1, [None])], [], []], ["a", "b", "c"]) == [("f", "f|g__newa|s__newa"), None, ("f", "f|g__newc|s__newc")]
+
+
+def test_update_tests_the_boundaries(spark):
+    """A genus of three species: an unknown within its boundary joins it, one that shares little stays in the pool."""
+    r = random.Random(5)
+    base = "".join(r.choice("ACGT") for _ in range(900))
+    far = "".join(r.choice("ACGT") for _ in range(900))
+    rows = [(i, mutated(r, base, 0.1), True, A + f"G{i}") for i in range(3)]
+    scratch = Scratch(spark)
+    made = lifecycle.index(genomes(spark, rows), None, scratch, 11, 1)
+    new = spark.createDataFrame([(20, mutated(r, base, 0.1)), (21, base[:30] + far)], "genome_id long, seq string")
+    after = lifecycle.update(made, new, scratch, 11, 1)
+    labels = {x.genome_id: x.taxonomy for x in after["genomes"].collect()}
+    assert len(labels) == 5 and labels[21] is None
+    assert labels[20] == A + "new20"
