@@ -13,7 +13,7 @@ from cladeframe.llm.matroska import media_from_texts
 from cladeframe.llm.minhash import near_duplicates
 from cladeframe.llm.packing import pack
 from cladeframe.llm.quality import quality_scores
-from cladeframe.llm.substrings import UNIT, substring_dedup
+from cladeframe.llm.substrings import CUT, substring_dedup
 from cladeframe.llm.tokens import piece_digests, token_counts
 from cladeframe.llm.toxicity import toxicity_scores
 
@@ -75,38 +75,50 @@ QUERIES = {f.__name__: f for f in (
 
 # -- DuckDB SQL --------------------------------------------------------------
 
-_UNIT_SQL = UNIT.replace("\n", "\\n").replace("'", "''")
-
+_FILLER = r" \t\r\n.,;:!?"
 _OP1_SQL = rf"""
-WITH parts AS (
-  SELECT doc_id, text, regexp_extract_all(text, '{_UNIT_SQL}') AS us FROM documents
+WITH chunks AS (
+  SELECT doc_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM (
+    SELECT doc_id, regexp_extract_all(text, '[^{_FILLER}]*[{_FILLER}]+|[^{_FILLER}]+') AS cs FROM documents)
+), ended AS (
+  SELECT *, CASE WHEN regexp_matches(c, '[\n.,;:!?]') OR (core <> '' AND (strlen(core) + CASE WHEN mark < 128 THEN mark ELSE 128 + mark % 64 END) % {CUT} = 0) THEN 1 ELSE 0 END AS ends
+  FROM (SELECT *, unicode(translate(right(core, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS mark
+        FROM (SELECT *, regexp_extract(c, '^[^{_FILLER}]*') AS core FROM chunks))
+), numbered AS (
+  SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM ended
+), parts AS (
+  SELECT doc_id, CAST(pos AS BIGINT) AS pos, string_agg(c, '' ORDER BY i) AS u FROM numbered GROUP BY ALL
 ), units AS (
-  SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) - 1 AS pos FROM parts
-), normed AS (
-  SELECT doc_id, pos, length(u) AS len, trim(regexp_replace(lower(u), '[ \t\r\n]+', ' ', 'g')) AS n FROM units
+  SELECT doc_id, pos, length(u) AS len, CASE WHEN n = '' THEN 0 ELSE len(string_split(n, ' ')) END AS words, n FROM (
+    SELECT *, trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n]+', ' ', 'g')) AS n FROM parts)
+), summed AS (
+  SELECT *, CAST(sum(words) OVER w AS BIGINT) AS upto, CAST(sum(len) OVER w AS BIGINT) AS stop FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), windowed AS (
+  SELECT a.doc_id, a.pos AS first, b.pos AS last FROM summed a ASOF JOIN summed b ON a.doc_id = b.doc_id AND a.upto - a.words + 20 <= b.upto WHERE a.words > 0
+  UNION
+  SELECT b.doc_id, a.pos, b.pos FROM summed b ASOF JOIN summed a ON a.doc_id = b.doc_id AND b.upto - 20 >= a.upto - a.words WHERE b.words > 0
+), listed AS (
+  SELECT doc_id, list(n ORDER BY pos) AS ns FROM units GROUP BY doc_id
 ), ranked AS (
-  SELECT *, CASE WHEN n = '' THEN 0 ELSE len(string_split(n, ' ')) END AS words,
-         row_number() OVER (PARTITION BY n ORDER BY doc_id, pos) AS occurrence FROM normed
+  SELECT w.*, row_number() OVER (PARTITION BY array_to_string(ns[first + 1:last + 1], chr(1)) ORDER BY w.doc_id, first) AS occurrence
+  FROM windowed w JOIN listed USING (doc_id)
 ), later AS (
-  SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM ranked WHERE occurrence > 1
-), runs AS (
-  SELECT doc_id, run, min(pos) AS first, max(pos) AS last, sum(len) AS chars
-  FROM later GROUP BY doc_id, run HAVING sum(words) >= 20
-), flagged AS (
-  SELECT n.doc_id, n.pos, n.len, r.first, r.last,
-         sum(n.len) OVER (PARTITION BY n.doc_id ORDER BY n.pos) - n.len AS start
-  FROM normed n LEFT JOIN runs r ON r.doc_id = n.doc_id AND n.pos BETWEEN r.first AND r.last
-), kept AS (
-  SELECT f.doc_id, string_agg(CASE WHEN f.first IS NULL THEN p.us[f.pos + 1] ELSE '' END, '' ORDER BY f.pos) AS text,
-         count(*) AS n_units, count(f.first) AS n_removed,
-         CAST(coalesce(sum(CASE WHEN f.first IS NOT NULL THEN f.len END), 0) AS BIGINT) AS removed_chars,
-         coalesce(string_agg(CASE WHEN f.pos = f.first THEN CAST(f.start AS BIGINT)::VARCHAR || '+' || (
-            SELECT CAST(r.chars AS BIGINT) FROM runs r WHERE r.doc_id = f.doc_id AND r.first = f.first)::VARCHAR END, ';' ORDER BY f.pos), '') AS spans
-  FROM flagged f JOIN parts p ON p.doc_id = f.doc_id GROUP BY f.doc_id
+  SELECT *, max(last) OVER (PARTITION BY doc_id ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ranked WHERE occurrence > 1
+), islands AS (
+  SELECT *, sum(CASE WHEN first <= before + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY first, last) AS island FROM later
+), spans AS (
+  SELECT doc_id, min(first) AS first, max(last) AS last FROM islands GROUP BY doc_id, island
+), placed AS (
+  SELECT s.doc_id, s.last - s.first + 1 AS n, a.stop - a.len AS start, b.stop AS stop FROM spans s
+  JOIN summed a ON a.doc_id = s.doc_id AND a.pos = s.first JOIN summed b ON b.doc_id = s.doc_id AND b.pos = s.last
+), lists AS (
+  SELECT doc_id, sum(n)::BIGINT AS n, sum(stop - start)::BIGINT AS chars, list(start ORDER BY start) AS starts, list(stop ORDER BY start) AS stops,
+         string_agg(start || '+' || (stop - start), ';' ORDER BY start) AS spans FROM placed GROUP BY doc_id
 )
-SELECT d.doc_id, coalesce(k.text, '') AS text, coalesce(k.n_units, 0) AS n_units, coalesce(k.n_removed, 0) AS n_removed,
-       coalesce(k.removed_chars, 0) AS removed_chars, coalesce(k.spans, '') AS spans
-FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN coalesce(text, '') ELSE array_to_string(list_transform(range(0, len(starts) + 1), lambda i:
+         substring(text, coalesce(stops[i], 0) + 1, coalesce(starts[i + 1], length(text)) - coalesce(stops[i], 0))), '') END AS text,
+       coalesce(n, 0) AS n_removed, coalesce(chars, 0) AS removed_chars, coalesce(l.spans, '') AS spans
+FROM documents d LEFT JOIN lists l ON l.doc_id = d.doc_id
 """
 
 _COMPONENTS_SQL = """, reach(node, low) AS (

@@ -1,97 +1,260 @@
-"""Substring deduplication by hashing the units of a text.
-
-A unit is a line, or the part of one up to a punctuation mark, with the white space
-after it, so the units of a text put together are the text.  Parts are needed for
-passages that stand inside a line: their inner clauses are the same everywhere.  Digests of the normalised units
-(lower case, single blanks) are grouped over all documents; the occurrence with
-the least (doc_id, position) is kept.  A run of neighbouring units that all
-occurred earlier is removed if it has at least ``min_words`` words, so that
-passages go and short common lines stay.  Removed spans keep the offsets that
-they had in the original text.
+"""Substring deduplication by hashing the lines of a text and runs of their parts.
+
+A unit is a line, or the part of one up to a punctuation mark or up to a word whose
+length and last byte sum up to a multiple of ``CUT``.  Cuts depend on nothing but the words
+beside them, so a passage has the same inner units wherever it stands, with or
+without marks.  Units are normalised (A-Z lower-cased, blanks as one) and hashed.
+
+Units that stand for themselves must be long enough to be a passage: a window is the
+shortest run of neighbouring units with at least ``min_words`` words, counted on from
+each unit and back from each unit; a line that long is one by itself.  Digests of
+windows are grouped over all documents, the occurrence with the least (doc_id,
+position) is kept, and the units of all others are removed.  So what goes stood
+in one piece in a text before; every unit stays where it occurs first, and short
+common lines stay.  Removed spans keep the offsets that they had in the original
+text.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import Scratch
+from cladeframe.llm.common import Scratch, chunks, give_back
+
+#: A unit ends after a word whose length in bytes and last byte (A-Z lower-cased) sum up to a multiple of this.
+CUT = 5
+#: Bytes of text that are hashed at once.
+SLICE_BYTES = 1 << 20
+#: Windows that a task holds to tell repeats among them from what the others must see (about 100 bytes each).
+HELD_WINDOWS = 500_000
+#: Removed spans (24 bytes each, and 40 a document) that may be broadcast; beyond that they are joined by a shuffle.
+MAX_BROADCAST_SPANS = 200_000
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_KIND = np.zeros(256, dtype=np.uint8)  # 1: blank, 2: mark, 3: line end
+_KIND[[9, 13, 32]] = 1
+_KIND[[ord(c) for c in ".,;:!?"]] = 2
+_KIND[10] = 3
+_RNG = np.random.default_rng(20240229)
+_BYTES = _RNG.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = [int(x) for x in _RNG.integers(1, 2**63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]
+_BACK = [pow(x, -1, 2**64) for x in _STEP]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
-UNIT = r"[^\n.,;:!?]*[\n.,;:!?][\n.,;:!? \t\r]*|[^\n.,;:!?]+"
-#: Removed runs (16 bytes each, and 40 a document) that may be broadcast; beyond that they are joined by a shuffle.
-MAX_BROADCAST_RUNS = 200_000
+_TABLES: dict[int, np.ndarray] = {}
 
 
-def units_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers modulo 2**64, kept for the next call unless they are many."""
+    if base not in _TABLES or len(_TABLES[base]) < n:
+        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        out[0] = 1
+        out = np.multiply.accumulate(out)
+        if n > 2 * SLICE_BYTES:
+            return out[:n]
+        _TABLES[base] = out
+    return _TABLES[base][:n]
 
 
-def normalised(unit: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(unit), r"[ \t\r\n]+", " "))
+def _rolled(values: np.ndarray, at: np.ndarray, until: np.ndarray, k: int) -> np.ndarray:
+    """Order-dependent digest of ``values[at:until]`` for many ranges, from one running sum."""
+    running = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(_STEP[k], len(values)), out=running[1:])
+    return _mix((running[until] - running[at]) * _powers(_BACK[k], len(values) + 1)[at] + (until - at).astype(np.uint64))
 
 
-def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = 20) -> DataFrame:
-    """``doc_id, runs``: the first and last position (from 0) of each run to remove.
+def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first byte in the joined texts, words and two digests of every unit; and the bytes that start a character."""
+    raws = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raws), dtype=np.uint8)
+    size = np.fromiter(map(len, raws), dtype=np.int64, count=len(raws))
+    row_start = np.cumsum(size) - size
+    n = len(data)
+    kind = _KIND[data]
+    word = (kind == 0) | (kind == 2)
+    first = np.zeros(n, dtype=bool)
+    first[row_start[size > 0]] = True
+    # after marks or line ends (with what blanks follow) a unit begins
+    stop = kind >= 2
+    filler = kind > 0  # marks and blanks, which belong to the unit before them
+    run = np.flatnonzero(np.concatenate([[True], filler[1:] != filler[:-1]]) | first) if n else np.empty(0, np.int64)
+    stopped = np.bitwise_or.reduceat(stop.astype(np.uint8), run) > 0 if n else np.empty(0, bool)
+    begin = first.copy()
+    after = run[1:][filler[run[:-1]] & stopped[:-1]]
+    begin[after] = True
+    # words, cut where units begin; a text may begin with fillers, which make a unit of their own
+    prev_word = np.concatenate([[False], word[:-1]]) if n else word
+    opens = word & (~prev_word | begin)
+    at = np.flatnonzero(opens)
+    closes = word & ~np.concatenate([(word & ~opens)[1:], [False]]) if n else word
+    end = np.flatnonzero(closes) + 1
+    # such a word ends its unit together with the blanks after it
+    lower = _LOWER[data]
+    cut = np.flatnonzero(((end - at + lower[end - 1]) % CUT == 0)[:-1] & (kind[at[1:]] == 0)) if len(at) else np.empty(0, np.int64)
+    begin[at[cut + 1]] = True
+    start = np.flatnonzero(begin)
+    of_word = np.searchsorted(at, start, side="left")
+    until = np.concatenate([of_word[1:], [len(at)]]) if len(start) else of_word
+    digests = [_rolled(_rolled(_BYTES[k][lower], at, end, k), of_word, until, k) for k in range(2)]
+    row = np.searchsorted(row_start + size, start, side="right")
+    return row, start, until - of_word, np.stack(digests), (data & 0xC0) != 0x80
 
-    Digests are counted first (a map-side combined sum, so a line that a third of
-    all documents hold never meets in one task); only repeated ones are joined
-    back to their occurrences.
+
+def windows(texts: list[str], min_words: int) -> tuple[np.ndarray, ...]:
+    """Row, first and last unit in the row, first and last character (exclusive) and digests of every window."""
+    row, start, words, digest, leads = units(texts)
+    n = len(row)
+    if not n:
+        return tuple(np.empty(0, np.int64) for _ in range(5)) + (np.empty((2, 0), np.uint64),)
+    upto = np.concatenate([[0], np.cumsum(words)])
+    bounds = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1, [n]])
+    low = np.repeat(bounds[:-1], np.diff(bounds))
+    high = np.repeat(bounds[1:], np.diff(bounds))
+    each = np.arange(n)
+    # counted on from each unit: the first end with enough words; counted back: the last start
+    on = np.searchsorted(upto, upto[:-1] + min_words, side="left")
+    back = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1
+    forward, backward = on <= high, back >= low
+    a = np.concatenate([each[forward], back[backward]])
+    b = np.concatenate([on[forward], each[backward] + 1])
+    a, b = np.divmod(np.unique(a * (n + 1) + b), n + 1)
+    chars = np.cumsum(leads)  # characters up to and with a byte
+    begins = np.concatenate([chars[start] - 1, [int(chars[-1])]])
+    text_begin = begins[low]
+    digests = np.stack([_rolled(digest[k], a, b, k) for k in range(2)])
+    return row[a], a - low[a], b - 1 - low[a], begins[a] - text_begin[a], begins[b] - text_begin[a], digests
+
+
+def window_table(docs: DataFrame, min_words: int) -> DataFrame:
+    """``h1, h2, doc_id, version, first, last, start, stop, later`` of the windows of ``docs(doc_id, version, text)``.
+
+    ``later`` marks those that the same task met with a lesser rank: they are decided, and
+    so one that a third of all documents hold goes on as one row for ``HELD_WINDOWS`` of a task.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id is not null and text is not null")
-    one = texts.select("doc_id", F.posexplode(F.transform(units_of(F.col("text")), normalised)).alias("pos", "unit"))
-    # a pair of independent 64-bit digests stands for the unit
-    hashed = one.select("doc_id", "pos", F.xxhash64("unit").alias("h1"), F.xxhash64(F.lit(20240229), "unit").alias("h2"),
-                        F.when(F.col("unit") == "", 0).otherwise(F.size(F.split("unit", " "))).alias("words"))
-    again = scratch.save(hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"))
-    met = scratch.save(hashed.join(again, ["h1", "h2"]))
-    first = scratch.save(met.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first")))
-    # the counts are read back, so the joins meet them by plain shuffles whose hot partitions can be split
-    later = met.join(first, ["h1", "h2"]).where(F.struct("doc_id", "pos") != F.col("first")) \
-        .select("doc_id", "pos", "words").distinct()
-    by_doc = Window.partitionBy("doc_id").orderBy("pos")
-    runs = later.withColumn("run", F.col("pos") - F.row_number().over(by_doc)).groupBy("doc_id", "run").agg(
-        F.min("pos").alias("first"), F.max("pos").alias("last"), F.sum("words").alias("words")).where(F.col("words") >= min_words)
-    return scratch.save(runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs")))
-
-
-def remove_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with ``text`` cleaned, and ``n_units, n_removed, removed_chars, spans``.
-
-    ``spans``: ``start+length`` in characters of the original text, joined by ``;``.
+    names = ["h1", "h2", "doc_id", "version", "first", "last", "start", "stop", "later"]
+    kinds = ["int64", "int64", "int64", "int32", "int32", "int32", "int32", "int32", "bool"]
+
+    def flush(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held)]
+        later = np.zeros(len(columns[0]), dtype=bool)
+        # most windows are alone with their first digest
+        order = np.argsort(columns[0])
+        h = columns[0][order]
+        equal = h[1:] == h[:-1]
+        order = order[np.concatenate([[False], equal]) | np.concatenate([equal, [False]])]
+        order = order[np.lexsort([columns[k][order] for k in (4, 3, 2, 1, 0)])]
+        if len(order):
+            met = [c[order] for c in columns[:5]]
+            fresh = lambda upto: np.concatenate([[True], ~np.logical_and.reduce([c[1:] == c[:-1] for c in met[:upto]])])
+            # of equal ranks (a row that occurs twice) all are first
+            rank, heads = np.cumsum(fresh(5)), np.flatnonzero(fresh(2))
+            later[order] = rank > rank[heads][np.cumsum(fresh(2)) - 1]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*columns, later], kinds)], names)
+
+    def run(batches):
+        held, count = [], 0
+        for batch in batches:
+            for part in chunks(batch, "text", max_bytes=SLICE_BYTES):
+                row, first, last, start, stop, digest = windows(part.column("text").to_pylist(), min_words)
+                if not len(row):
+                    continue
+                ids, version = np.asarray(part.column("doc_id")), np.asarray(part.column("version"))
+                held.append([digest[0].view(np.int64), digest[1].view(np.int64), ids[row], version[row], first, last, start, stop])
+                count += len(row)
+                if count >= HELD_WINDOWS:
+                    yield flush(held)
+                    held, count = [], 0
+        if held:
+            yield flush(held)
+        give_back()
+
+    return docs.select("doc_id", "version", "text").mapInArrow(
+        run, "h1 long, h2 long, doc_id long, version int, first int, last int, start int, stop int, later boolean")
+
+
+def repeated_spans(docs: DataFrame, scratch: Scratch, min_words: int = 20) -> DataFrame:
+    """``doc_id, version, spans``: what to remove of each document, as ``(start, stop, n)`` in characters, with its ``n`` units."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _version(F.col("text")).alias("version"), "text") \
+        .where("doc_id is not null and text is not null")
+    found = scratch.save(window_table(texts, min_words))
+    place = ["doc_id", "version", "first", "last", "start", "stop"]
+    least = F.min(F.struct("doc_id", "version", "first")).over(Window.partitionBy("h1", "h2"))
+    later = found.where("not later").withColumn("least", least).where(F.struct("doc_id", "version", "first") != F.col("least"))
+    later = later.select(*place).union(found.where("later").select(*place)).distinct()
+    by_doc = Window.partitionBy("doc_id", "version").orderBy("first", "last")
+    # windows that touch or overlap are one span
+    before = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    islands = later.withColumn("opens", F.when(F.col("first") <= before + 1, 0).otherwise(1)).withColumn(
+        "island", F.sum("opens").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = islands.groupBy("doc_id", "version", "island").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("last") - F.min("first") + 1).alias("n"))
+    out = scratch.save(spans.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "n"))).alias("spans")))
+    scratch.drop(found)
+    return out
+
+
+def _version(text: Column) -> Column:
+    """Tells apart the texts of rows that repeat an id."""
+    return F.hash(text)
+
+
+def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """All columns of ``docs`` with ``text`` cleaned, and ``n_removed, removed_chars, spans``.
+
+    ``spans``: ``start+length`` in characters of the original text, joined by ``;``.  Columns of
+    ``docs`` that have these names are replaced.
     """
-    small = (runs.agg(F.sum(F.size("runs"))).first()[0] or 0) <= MAX_BROADCAST_RUNS
-    runs = runs.select(F.col("doc_id").alias("run_doc_id"), F.col("runs").alias("run_list"))
-    wide = docs.join(F.broadcast(runs) if small else runs, docs["doc_id"].cast("long") == F.col("run_doc_id"), "left")
-    wide = wide.withColumn("unit_list", F.coalesce(units_of(F.col("text")), F.array().cast("array<string>")))
-    lengths = F.transform("unit_list", F.length)
-
-    def total(parts: Column) -> Column:
-        return F.aggregate(parts, F.lit(0), lambda a, x: a + x)
-
-    # bounds of what stays: the ends of runs and the starts of the next ones
-    starts = F.concat(F.array(F.lit(0)), F.transform("run_list", lambda r: r["last"] + 1))
-    stops = F.concat(F.transform("run_list", lambda r: r["first"]), F.array(F.size("unit_list")))
-    kept = F.array_join(F.zip_with(starts, stops, lambda a, b: F.array_join(F.slice("unit_list", a + 1, b - a), "")), "")
-    span = F.transform("run_list", lambda r: F.struct(
-        total(F.slice(lengths, F.lit(1), r["first"])).alias("start"),
-        total(F.slice(lengths, r["first"] + 1, r["last"] - r["first"] + 1)).alias("length")))
-    wide = wide.withColumn("span_list", F.when(F.col("run_list").isNotNull(), span))
+    small = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= MAX_BROADCAST_SPANS
+    made = ("n_removed", "removed_chars", "spans")
+    # all columns of the input travel in one struct, so none can clash with the ones made here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text, spans = F.col("row.text"), spans.select(F.col("doc_id").alias("span_doc"), F.col("version").alias("span_version"), F.col("spans").alias("cut"))
+    wide = rows.join(F.broadcast(spans) if small else spans, (F.col("row.doc_id").cast("long") == F.col("span_doc"))
+                     & (_version(text) == F.col("span_version")), "left")
+    # what stays lies between the end of a span and the start of the next
+    froms = F.concat(F.array(F.lit(0)), F.transform("cut", lambda s: s["stop"]))
+    tos = F.concat(F.transform("cut", lambda s: s["start"]), F.array(F.length(text)))
+    kept = F.array_join(F.zip_with(froms, tos, lambda a, b: F.substring(text, a + 1, b - a)), "")
+    clean = F.when(F.col("cut").isNull(), F.coalesce(text, F.lit(""))).otherwise(kept)
+
+    def total(value) -> Column:
+        return F.coalesce(F.aggregate("cut", F.lit(0), lambda a, s: a + value(s)), F.lit(0)).cast("long")
+
     return wide.select(
-        *[(F.when(F.col("run_list").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("text") if c == "text" else docs[c])
-          for c in docs.columns],
-        F.size("unit_list").cast("long").alias("n_units"),
-        F.coalesce(F.aggregate("run_list", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.aggregate("span_list", F.lit(0), lambda a, s: a + s["length"]), F.lit(0)).cast("long").alias("removed_chars"),
-        F.coalesce(F.array_join(F.transform("span_list", lambda s: F.concat(
-            s["start"].cast("string"), F.lit("+"), s["length"].cast("string"))), ";"), F.lit("")).alias("spans"))
+        *[clean.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in made],
+        total(lambda s: s["n"]).alias("n_removed"), total(lambda s: s["stop"] - s["start"]).alias("removed_chars"),
+        F.coalesce(F.array_join(F.transform("cut", lambda s: F.concat(
+            s["start"].cast("string"), F.lit("+"), (s["stop"] - s["start"]).cast("string"))), ";"), F.lit("")).alias("spans"))
+
+
+def clean_texts(docs: DataFrame, scratch: Scratch, min_words: int = 20) -> DataFrame:
+    """``docs`` with its own columns only, repeated passages removed from ``text`` (cases as in :func:`substring_dedup`)."""
+    slim = docs.select("doc_id", "text")
+    spans = repeated_spans(slim, scratch, min_words)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), "doc_id", "text")
+    done = remove_spans(rows, spans)
+    return done.select(*[F.col("text") if c == "text" else F.col(f"kept.`{c}`").alias(c) for c in docs.columns])
 
 
 def substring_dedup(docs: DataFrame, scratch: Scratch, min_words: int = 20) -> DataFrame:
     """Every document with repeated passages removed (see the module's text).
 
-    One row per input row.  Null texts become empty; rows without an id keep their
-    text; rows that repeat an id are one document and decided alike.  An empty
-    table gives an empty result.
+    One row per input row, with all of its columns; ``n_removed`` (units), ``removed_chars`` and
+    ``spans`` replace columns of these names.  Null texts become empty.  Rows without an
+    id keep their text and take no part.  Rows that repeat an id with the same text are one
+    document and cut alike; with other texts they are documents of their own, ranked by
+    a hash of the text.  Of equal passages the one with the least (doc_id, position)
+    stays, also within one document.  Texts of any length are read whole; an empty table
+    gives an empty result.
     """
-    docs = docs.drop("run_doc_id", "run_list", "unit_list", "span_list", "n_units", "n_removed", "removed_chars", "spans")
-    return remove_runs(docs, repeated_runs(docs, scratch, min_words))
+    return remove_spans(docs, repeated_spans(docs, scratch, min_words))

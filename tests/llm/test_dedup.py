@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from cladeframe.llm import minhash, queries
+from cladeframe.llm import minhash, queries, substrings
 from cladeframe.llm.common import Scratch, read_table
 from cladeframe.llm.components import connected_components
 from cladeframe.llm.epsilongrid import near_vectors
@@ -119,18 +119,100 @@ def test_near_duplicates_edge_cases(spark):
         near_duplicates(docs, Scratch(spark), percent=70)
 
 
+def plain_units(text):
+    """Units by reading characters: after marks or line ends (and what blanks follow), or after a word of such a length and end."""
+    out, i, n = [], 0, len(text)
+    while i < n:
+        j = i
+        while j < n and text[j] not in " \t\r\n.,;:!?":
+            j += 1
+        k = j
+        while k < n and text[k] in " \t\r\n.,;:!?":
+            k += 1
+        piece, core = text[i:k], text[i:j]
+        ends = any(c in "\n.,;:!?" for c in text[j:k]) or (core and (len(core.encode()) + re.sub("[A-Z]$", lambda m: m[0].lower(), core).encode()[-1]) % substrings.CUT == 0)
+        if out and not out[-1][1]:
+            out[-1] = (out[-1][0] + piece, ends)
+        else:
+            out.append((piece, ends))
+        i = k
+    return [u for u, _ in out]
+
+
+def plain_passages(rows, least=20):
+    """``id -> (clean text, removed spans)``: windows of enough words of which an earlier one is equal."""
+    seen, out = set(), {}
+    for i, text in sorted((i, t) for i, t in rows if i is not None and t is not None):
+        parts = plain_units(text)
+        norm = [" ".join(re.findall(r"[^ \t\r\n]+", re.sub("[A-Z]", lambda m: m[0].lower(), u))) for u in parts]
+        count = [len(u.split(" ")) if u else 0 for u in norm]
+        spans = set()
+        for p in range(len(parts)):
+            for step in (1, -1):
+                q, total = p, 0
+                while 0 <= q < len(parts):
+                    total += count[q]
+                    if total >= least:
+                        spans.add((min(p, q), max(p, q)))
+                        break
+                    q += step
+        gone = set()
+        for a, b in sorted(spans):
+            key = tuple(norm[a:b + 1])
+            if key in seen:
+                gone |= set(range(a, b + 1))
+            seen.add(key)
+        starts = np.cumsum([0, *map(len, parts)]).tolist()
+        runs = []
+        for k in sorted(gone):
+            if runs and runs[-1][1] == starts[k]:
+                runs[-1] = (runs[-1][0], starts[k + 1])
+            else:
+                runs.append((starts[k], starts[k + 1]))
+        out[i] = "".join(u for k, u in enumerate(parts) if k not in gone), ";".join(f"{a}+{b - a}" for a, b in runs)
+    return out
+
+
+def test_passages_against_brute_force(spark, monkeypatch):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdéxyz") for _ in range(r.randrange(1, 9))) + r.choice(["", "", "", ",", ". ", "!", "\n", "?."])
+    shared = [" ".join(word() for _ in range(n)) for n in (12, 19, 25, 60, 200)] + [" ".join(f"plain{k}" for k in range(70))]
+    rows = []
+    for i in range(150):
+        text = " ".join(" ".join(word() for _ in range(r.randrange(30))) + " " + r.choice(["", *shared]) for _ in range(r.randrange(1, 4)))
+        rows.append((i, r.choice([text, text.upper(), " ..  " + text, text + "  \n"])))
+    rows += [(200, "ha ha! " * 60), (201, "same line again.\n" * 30), (202, "   "), (203, "."), (204, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for held in (500_000, 50):
+        monkeypatch.setattr(substrings, "HELD_WINDOWS", held)
+        got = {x.doc_id: (x.text, x.spans) for x in substring_dedup(docs, Scratch(spark)).collect()}
+        assert got == plain_passages(rows)
+    assert got[204][0] == "" and got[202] == ("   ", "") and len(got[200][0]) < 200
+
+
+def test_patchwork_stays(spark):
+    """Clauses that stand apart in other documents make no passage; a passage without marks inside a line is found."""
+    clauses = [" ".join(f"c{k}w{i}" for i in range(8)) + "." for k in range(4)]
+    passage = " ".join(f"word{i % 7}x{i}" for i in range(55))
+    rows = [*enumerate(clauses), (10, " ".join(clauses)), (11, f"one two three {passage} four five"), (12, f"something else {passage} at last")]
+    got = {x.doc_id: x for x in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()}
+    assert got[10].n_removed == 0 and got[11].n_removed == 0
+    assert got[12].removed_chars > 0.8 * len(passage) and got[12].text.startswith("something else")
+
+
 def test_passages_go_and_short_lines_stay(spark):
     passage = " ".join(f"Word{k}" + ("." if k % 9 == 8 else "") for k in range(60))
     rows = [(1, f"Intro one.\n{passage}\nAll rights reserved.", 5), (2, f"Other start. {passage} Other end.\nAll rights reserved.", 6),
             (3, f"{passage.upper()}\n{passage}", 7), (4, "Clean text. All rights reserved.", 8), (5, None, 9), (6, "", 10), (None, passage, 11),
-            (7, "x" * 200_000, 12), (7, "x" * 200_000, 12)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n_units int")
+            (7, "x" * 200_000, 12), (7, "x" * 200_000, 12), (8, f"one {passage}", 1), (8, f"two {passage} two", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed int")
     got = {(r.doc_id, r.text, r.n_removed > 0, r.spans) for r in substring_dedup(docs, Scratch(spark)).collect()}
     texts = {i: (t, s) for i, t, _, s in got}
     assert texts[1] == (rows[0][1], "") and texts[4] == (rows[3][1], "") and texts[None] == (passage, "")
     assert "Word30" not in texts[2][0] and texts[2][0].startswith("Other start.") and texts[2][0].endswith("All rights reserved.")
     assert "WORD30" not in texts[3][0] and "Word30" not in texts[3][0]
     assert texts[5] == ("", "") and texts[6] == ("", "") and len(texts[7][0]) == 200_000
+    assert [len(t) < len(passage) / 2 for i, t, _, _ in got if i == 8] == [True, True]
     for key in (2, 3):  # spans are offsets of the original
         original, out, at = dict((i, t) for i, t, _ in rows)[key], [], 0
         for start, length in (map(int, s.split("+")) for s in texts[key][1].split(";")):
@@ -138,6 +220,8 @@ def test_passages_go_and_short_lines_stay(spark):
             at = start + length
         assert "".join(out) + original[at:] == texts[key][0]
     assert substring_dedup(docs.where("false"), Scratch(spark)).count() == 0
+    kept = substrings.clean_texts(docs, Scratch(spark)).collect()
+    assert len(kept) == len(rows) and {x.n_removed for x in kept if x.doc_id == 2} == {6}
 
 
 def test_vectors_against_brute_force(spark):
