@@ -1,14 +1,23 @@
-"""Toxicity by a weighted finite-state grammar over clauses.
-
-Every word is mapped to the classes that five lexical transducers accept: insult
-(a weighted prefix automaton learned from labelled rows and a few seed words),
-threat, target, negation and reported speech (seed words).  Their composition
-runs over each clause that holds an insult or a threat: a state carries whether
-a negation is still in reach, whether the clause reports another's words and
-whether it names a target, and each insult or threat leaves the machine on the
-arc of that state.  A document's figures are the arc weights summed by kind of
-arc; a logistic fit turns them into a score.  A word outside the grammar never
-counts, and a matched word counts by its clause, not alone.
+"""Toxicity by a weighted finite-state pattern grammar over clauses.
+
+A text is read as words (runs of letters wherever they stand; a letter of a script
+without blanks is a word) and clause ends.  Every word is an input symbol: the classes
+that single words belong to (insult, threat, target, negation, reported speech), a
+weight, and its number in the patterns of several words.  A clause that may hold an
+insult or a threat goes through a composition of transducers, each of which writes
+one symbol for each that it reads:
+
+- patterns: an automaton over the words of multi-word patterns, which adds the class
+  of a pattern at its last word;
+- negation: marks insults and threats within reach of a negation;
+- report: marks those after a word of reported speech;
+- target: guesses whether the clause names a target and accepts if the guess is right;
+- arcs: turns a marked insult or threat into the kind of arc that it leaves on.
+
+A document's figures are the weights on the accepted paths, summed by kind of arc; a
+logistic fit turns them into a score.  A word outside the grammar never counts, and
+a matched word counts by its clause, not alone.  Insults are seed words and stems
+learned from labelled rows.
 """
 
 from __future__ import annotations
@@ -16,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +36,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from cladeframe.llm.common import chunks, give_back, Scratch
 from cladeframe.llm.labelled import MAX_TRAINING_ROWS, training_rows
 
-# Seed words of the transducers (English, German, French, Spanish).
+# Seed words and patterns of the transducers (English, German, French, Spanish).
 INSULTS = "idiot moron stupid scum dumb loser fool trottel arschloch dummkopf connard imbécile idiota estúpido imbécil".split()
 THREATS = "kill hurt destroy shoot stab töten umbringen verletzen zerstören tuer frapper détruire matar golpear destruir".split()
 TARGETS = ("you your he him she her they them du dich dir ihr euch sie er tu toi te vous il elle lui leur "
@@ -34,6 +44,12 @@ TARGETS = ("you your he him she her they them du dich dir ihr euch sie er tu toi
 NEGATIONS = "not no never isn't aren't don't won't nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún".split()
 REPORTS = ("said says wrote claims quoted reported called sagte sagt schrieb behauptet dit écrit affirme "
            "dijo dice escribió afirma").split()
+PATTERNS = {
+    "insult": ("piece of trash", "waste of space", "good for nothing", "shut up", "halt die klappe", "ferme ta bouche", "cierra la boca"),
+    "threat": ("beat you up", "hope you die", "watch your back", "bring dich um", "te faire mal", "hacerte daño"),
+    "negation": ("no longer", "by no means", "far from", "auf keinen fall", "en aucun cas", "de ninguna manera"),
+    "report": ("according to", "in the words of", "laut einem", "selon lui", "según él"),
+}
 
 NEGATION_REACH = 3  # words after a negation that it still turns
 STEM_LENGTHS = (4, 5, 6)
@@ -41,16 +57,173 @@ STEM_LENGTHS = (4, 5, 6)
 #: and chance would put it on the toxic side so often in at most this many cases.
 MIN_SUPPORT, MAX_CLEAN, MAX_CHANCE = 0.004, 0.05, 1e-7
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, STOP = 1, 2, 4, 8, 16, 32
+INSULT, THREAT, TARGET, NEGATION, REPORT, MAYBE = 1, 2, 4, 8, 16, 32
+NEGATED, REPORTED, AIMED = 64, 128, 256
+_BITS = {"insult": INSULT, "threat": THREAT, "negation": NEGATION, "report": REPORT}
 ARCS = ("plain", "targeted", "negated", "reported", "threat")
 
-_letters = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?").findall
-_clause_end = re.compile(r"[.!?;:]+[\"')\]*&%$#]*$").search
+_WORD = r"[^\W\d_]+(?:'[^\W\d_]+)?"
+_words = re.compile(_WORD).findall
+#: The same where each letter of a script without blanks is a word.
+_IDEOGRAM = "[\u3040-\u30ff\u3400-\u9fff]"
+_SINGLE = rf"{_IDEOGRAM}|(?:(?!{_IDEOGRAM})[^\W\d_])+(?:'(?:(?!{_IDEOGRAM})[^\W\d_])+)?"
+_single_words = re.compile(_SINGLE).findall
+#: A word, or the end of a clause (which a mark before a digit is not).
+_pieces = re.compile(rf"({_SINGLE})|[.!?;:]+(?!\d)").finditer
 
 
-def word_of(token: str) -> str:
-    """The longest run of letters of a lower-case token."""
-    return max(_letters(token), key=len, default="")
+def words_of(text: str) -> list[str]:
+    """Runs of letters; letters of scripts without blanks one by one."""
+    return _words(text) if text.isascii() or max(text) < "\u3040" else _single_words(text)
+
+
+# -- transducers -------------------------------------------------------------
+
+
+class Transducer:
+    """States with arcs; ``step(state, symbol)`` lists ``(next state, written symbol, weight)``."""
+
+    start: object = 0
+
+    def step(self, state, symbol) -> list[tuple]:
+        raise NotImplementedError
+
+    def final(self, state) -> bool:
+        return True
+
+
+class Composed(Transducer):
+    """Reads with the first machine, feeds what it writes to the second; weights add up."""
+
+    def __init__(self, first: Transducer, second: Transducer):
+        self.first, self.second = first, second
+        self.start = (first.start, second.start)
+
+    def step(self, state, symbol):
+        return [((p, q), z, v + w) for p, y, v in self.first.step(state[0], symbol) for q, z, w in self.second.step(state[1], y)]
+
+    def final(self, state):
+        return self.first.final(state[0]) and self.second.final(state[1])
+
+
+def compose(*machines: Transducer) -> Transducer:
+    out = machines[-1]
+    for m in machines[-2::-1]:
+        out = Composed(m, out)
+    return out
+
+
+class Table(Transducer):
+    """The same machine with all arcs that its states have on ``symbols`` written out."""
+
+    def __init__(self, machine: Transducer, symbols):
+        number, queue = {machine.start: 0}, [machine.start]
+        self.arcs, self.ends = {}, []
+        for state in queue:
+            self.ends.append(machine.final(state))
+            for x in symbols:
+                arcs = machine.step(state, x)
+                for to, *_ in arcs:
+                    if to not in number:
+                        number[to] = len(queue)
+                        queue.append(to)
+                self.arcs[number[state], x] = [(number[to], y, w) for to, y, w in arcs]
+        self.start = 0
+
+    def step(self, state, symbol):
+        return self.arcs[state, symbol]
+
+    def final(self, state):
+        return self.ends[state]
+
+
+class Patterns(Transducer):
+    """Reads ``(classes, weight, number)`` of words, writes classes with those of patterns that end here."""
+
+    def __init__(self, patterns: dict[str, tuple[str, ...]] = PATTERNS):
+        self.numbers: dict[str, int] = {}
+        nodes, self.adds = {(): 0}, {0: 0}
+        self.longest: set[int] = set()
+        for name, listed in patterns.items():
+            for text in listed:
+                path = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in text.split())
+                for n in range(1, len(path) + 1):
+                    self.adds.setdefault(nodes.setdefault(path[:n], len(nodes)), 0)
+                self.adds[nodes[path]] |= _BITS[name]
+                if name in ("insult", "threat"):
+                    self.longest.add(self.numbers[max(text.split(), key=len)])
+        # from each prefix: the longest prefix that what was read ends with
+        self.arcs, self.prefixes = {}, nodes
+        for path, at in nodes.items():
+            for number in range(1, len(self.numbers) + 1):
+                read = (*path, number)
+                while read not in nodes:
+                    read = read[1:]
+                self.arcs[at, number] = nodes[read]
+        # a pattern that ends inside of another counts as well
+        for path, at in sorted(nodes.items(), key=lambda kv: len(kv[0])):
+            for n in range(1, len(path)):
+                self.adds[at] |= self.adds[nodes[path[n:]]] if path[n:] in nodes else 0
+
+    def step(self, state, symbol):
+        bits, weight, number = symbol
+        to = self.arcs[state, number] if number else 0
+        added = self.adds[to]
+        return [(to, (bits | added) & ~MAYBE, max(weight, 1.0) if added & (INSULT | THREAT) else weight)]
+
+
+class Negation(Transducer):
+    def step(self, state, symbol):
+        if symbol & NEGATION:
+            return [(NEGATION_REACH, symbol | NEGATED, 0.0)]
+        return [(max(state - 1, 0), symbol | NEGATED if state else symbol, 0.0)]
+
+
+class Report(Transducer):
+    def step(self, state, symbol):
+        seen = state or bool(symbol & REPORT)
+        return [(int(seen), symbol | REPORTED if seen else symbol, 0.0)]
+
+
+class Target(Transducer):
+    """Two branches from the start: with a target, which must come, and without any."""
+
+    start = "open"
+
+    def step(self, state, symbol):
+        here, out = bool(symbol & TARGET), []
+        if state in ("open", "wanted", "named"):
+            out.append(("named" if here or state == "named" else "wanted", symbol | AIMED, 0.0))
+        if state in ("open", "none") and not here:
+            out.append(("none", symbol, 0.0))
+        return out
+
+    def final(self, state):
+        return state != "wanted"
+
+
+class Arcs(Transducer):
+    def step(self, state, symbol):
+        kind = None
+        if symbol & (INSULT | THREAT):
+            kind = ("reported" if symbol & REPORTED else "negated" if symbol & NEGATED else
+                    "threat" if symbol & THREAT and symbol & AIMED else "targeted" if symbol & AIMED else "plain")
+        return [(0, kind, 0.0)]
+
+
+#: What follows the patterns, over all sets of classes.
+CONTEXT = Table(compose(Negation(), Report(), Target(), Arcs()), range(32))
+
+
+def accepted(machine: Transducer, symbols) -> list[tuple[list, list[float]]]:
+    """What each accepted path writes, with the weights of its arcs."""
+    alive = [(machine.start, [], [])]
+    for x in symbols:
+        alive = [(to, [*out, y], [*weights, w]) for state, out, weights in alive for to, y, w in machine.step(state, x)]
+    return [(out, weights) for state, out, weights in alive if machine.final(state)]
+
+
+# -- the grammar -------------------------------------------------------------
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -63,17 +236,26 @@ def stems(word: str) -> list[str]:
     return [word + "$"] + [word[:n] for n in STEM_LENGTHS if len(word) > n]
 
 
-class _Classes(dict):
-    """Token -> (classes, weight), in two bounded generations."""
+class _Symbols(dict):
+    """Token -> its symbols, a clause end being None; in two bounded generations."""
 
     def __init__(self, grammar: Grammar, limit: int = 300_000):
         super().__init__()
-        self.grammar, self.limit, self.old = grammar, limit, {}
+        self.grammar, self.limit, self.old, self.hot = grammar, limit, {}, set()
 
     def __missing__(self, token: str):
         value = self.old.get(token)
         if value is None:
-            value = self.grammar.classify(token)
+            word = token.rstrip(".,")
+            if word.isalpha() and max(word) < "\u3040":
+                symbol = self.grammar.symbol(word)
+                value = (symbol, None) if "." in token else (symbol,)
+                if symbol is _PLAIN:
+                    value = _PLAIN_STOP if "." in token else _PLAIN_ONE
+            else:
+                value = tuple(self.grammar.symbol(m[1]) if m[1] else None for m in _pieces(token))
+            if any(x is not None and x[0] & (INSULT | THREAT | MAYBE) for x in value):
+                self.hot.add(token)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -81,6 +263,10 @@ class _Classes(dict):
         return value
 
 
+_PLAIN = (0, 0.0, 0)
+_PLAIN_ONE, _PLAIN_STOP = (_PLAIN,), (_PLAIN, None)
+
+
 @dataclass
 class Grammar:
     """The transducers' weights and the logistic layer on the arcs."""
@@ -95,54 +281,58 @@ class Grammar:
         for bit, listed in ((INSULT, INSULTS), (THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
             for w in listed:
                 self.words[w] = self.words.get(w, 0) | bit
+        self.patterns = Patterns()
+        self.machine = compose(self.patterns, CONTEXT)
 
-    def classify(self, token: str) -> tuple[int, float]:
-        word = word_of(token)
+    def symbol(self, word: str) -> tuple[int, float, int]:
+        """Classes, weight and number of a word; ``MAYBE``: it is the longest of an insult or threat of several words."""
         bits = self.words.get(word, 0)
         weight = 1.0 if bits & (INSULT | THREAT) else 0.0
-        for s in stems(word) if word else ():
+        for s in stems(word):
             learned = self.insults.get(s)
             if learned is not None and learned > 0:
                 bits |= INSULT
                 weight = max(weight, learned)
-        if _clause_end(token):
-            bits |= STOP
-        return bits, weight
+        number = self.patterns.numbers.get(word, 0)
+        if number in self.patterns.longest:
+            bits |= MAYBE
+        return (bits, weight, number) if bits or number else _PLAIN
 
-    def arcs(self, tokens: list[str], classes: _Classes) -> list[float]:
+    def arcs(self, tokens: list[str], symbols: _Symbols) -> list[float]:
         """Summed weight of each kind of arc, and of the heaviest clause."""
-        coded = list(map(classes.__getitem__, tokens))
+        read = list(map(symbols.__getitem__, tokens))
         out = dict.fromkeys(ARCS, 0.0)
-        heaviest = 0.0
-        hot = [i for i, (bits, _) in enumerate(coded) if bits & (INSULT | THREAT)]
-        done = -1
-        for i in hot:
+        heaviest, done = 0.0, -1
+        if symbols.hot.isdisjoint(tokens):  # no clause can leave on an arc
+            return [0.0] * (len(ARCS) + 1)
+        read = list(chain.from_iterable(read))
+        for i in [i for i, x in enumerate(read) if x is not None and x[0] & (INSULT | THREAT | MAYBE)]:
             if i <= done:
                 continue
-            lo = i
-            while lo > done + 1 and not coded[lo - 1][0] & STOP:
+            lo = hi = i
+            while lo > done + 1 and read[lo - 1] is not None:
                 lo -= 1
-            hi = i
-            while hi < len(coded) - 1 and not coded[hi][0] & STOP:
+            while hi < len(read) - 1 and read[hi + 1] is not None:
                 hi += 1
             done, total = hi, 0.0
-            clause = coded[lo:hi + 1]
-            targeted = any(bits & TARGET for bits, _ in clause)
-            reported, negated = False, 0
-            for bits, weight in clause:
-                negated -= negated > 0
-                if bits & NEGATION:
-                    negated = NEGATION_REACH + 1
-                reported = reported or bool(bits & REPORT)
-                if bits & (INSULT | THREAT):
-                    arc = ("reported" if reported else "negated" if negated else
-                           "threat" if bits & THREAT and targeted else
-                           "targeted" if targeted else "plain")
-                    out[arc] += weight
-                    total += weight if arc in ("plain", "targeted", "threat") else 0.0
+            for kinds, weights in self.paths(read[lo:hi + 1]):
+                for kind, weight in zip(kinds, weights):
+                    out[kind] += weight
+                    total += weight if kind in ("plain", "targeted", "threat") else 0.0
             heaviest = max(heaviest, total)
         return [float(np.log1p(v)) for v in (*out.values(), heaviest)]
 
+    def paths(self, clause: list[tuple]) -> list[tuple[list[str], list[float]]]:
+        """Like :func:`accepted`, with no more than the arcs that a kind is written on."""
+        machine, alive = self.machine, [(self.machine.start, [], [])]
+        for x in clause:
+            follow = []
+            for state, kinds, weights in alive:
+                for to, kind, weight in machine.step(state, x):
+                    follow.append((to, kinds, weights) if kind is None else (to, [*kinds, kind], [*weights, weight]))
+            alive = follow
+        return [(kinds, weights) for state, kinds, weights in alive if machine.final(state)]
+
     def score(self, figures: np.ndarray) -> np.ndarray:
         z = self.weights[0] + ((figures - self.offset) / self.scale) @ self.weights[1:]
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
@@ -181,7 +371,7 @@ def _stem_counts(rows: DataFrame, label: int, only: set[str] | None) -> DataFram
         held: Counter = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                found = {s for w in {word_of(t) for t in set(tokens_of(text))} if w for s in stems(w)}
+                found = {s for w in set(words_of((text or "").lower())) for s in stems(w)}
                 held.update(found & only if only is not None else found)
                 if len(held) > 500_000:
                     yield _counts(held)
@@ -228,10 +418,10 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, scratch: Scratch, fold: Colu
 
 def _figures(rows: DataFrame, grammar: Grammar) -> tuple[np.ndarray, np.ndarray]:
     def run(batches):
-        classes = _Classes(grammar)
+        symbols = _Symbols(grammar)
         for batch in batches:
             for part in chunks(batch, "text"):
-                x = [grammar.arcs(tokens_of(t), classes) for t in part.column("text").to_pylist()]
+                x = [grammar.arcs(tokens_of(t), symbols) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
     got = rows.select("label", "text").mapInArrow(run, "label int, x array<double>").toArrow()
@@ -246,10 +436,10 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, text_col: str = "text", th
     docs = docs.drop("toxicity_score", "toxicity_predicted")
 
     def run(batches):
-        classes = _Classes(grammar)
+        symbols = _Symbols(grammar)
         for batch in batches:
             for part in chunks(batch, text_col):
-                x = np.array([grammar.arcs(tokens_of(t), classes) for t in part.column(text_col).to_pylist()])
+                x = np.array([grammar.arcs(tokens_of(t), symbols) for t in part.column(text_col).to_pylist()])
                 s = grammar.score(x.reshape(-1, 6))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(s), pa.array((s >= threshold).astype("int32"))],

@@ -1,5 +1,8 @@
 """Held-out accuracy, the grammar's arcs and edge cases of the two classifiers and URL rules."""
 
+import itertools
+import re
+
 import numpy as np
 import pytest
 
@@ -8,6 +11,7 @@ from cladeframe.llm.common import Scratch, read_table
 from cladeframe.llm.linkgraph import host_edges, judge_urls, propagate
 from cladeframe.llm.quality import STATISTICS, Quadratic, fit_quality, score_quality, statistics
 from cladeframe.llm.toxicity import Grammar, fit_grammar, score_toxicity, tokens_of
+from tests.conftest import SMALL
 
 MIDDLE = "/root/testdata/sf0.01"
 
@@ -57,17 +61,85 @@ def test_clashing_columns_and_empty_tables(spark):
 @pytest.mark.parametrize("text, arc", [
     ("What an idiot.", "plain"), ("You are an idiot.", "targeted"), ("He is not an idiot.", "negated"), ("She said that he is an idiot.", "reported"),
     ("I will kill you.", "threat"), ("Kill the lights.", "plain"), ("A fine day.", None), ("Not now.\nidiot", "plain"), ("Not a word and then so much idiot", "plain"),
-    ("STUPID*** thing", "plain"), ("", None), (None, None)])
+    ("STUPID*** thing", "plain"), ("", None), (None, None), ("You idiot-behaviour", "targeted"), ("You idiot.Wonderful day", "targeted"),
+    ("you-are-an-absolute-idiot", "targeted"), ("so shut up now", "plain"), ("you are no longer an idiot", "negated"),
+    ("an idiot, according to none", "plain"), ("according to none an idiot", "reported"), ("I hope you die", "threat"), ("Hope and die", None),
+    ("3.5 idiot 4.5 you", "targeted"), ("你idiot你", "plain")])
 def test_arcs(text, arc):
     grammar = Grammar()
-    figures = grammar.arcs(tokens_of(text), toxicity._Classes(grammar))
+    figures = grammar.arcs(tokens_of(text), toxicity._Symbols(grammar))
     assert [a for a, v in zip(toxicity.ARCS, figures) if v > 0] == ([arc] if arc else [])
     assert (figures[5] > 0) == (arc in ("plain", "targeted", "threat"))
 
 
+def test_composition_against_the_machines_one_by_one():
+    """Every path of the composed machine on short clauses is a cascade of paths of its parts, and the other way round."""
+    grammar = Grammar()
+    symbol = lambda w: grammar.symbol(w)
+    words = ["idiot", "kill", "you", "not", "said", "no", "longer", "shut", "up", "tree"]
+    parts = [grammar.patterns, toxicity.Negation(), toxicity.Report(), toxicity.Target(), toxicity.Arcs()]
+
+    def cascade(machines, symbols):
+        if not machines:
+            return [(symbols, [0.0] * len(symbols))]
+        out = []
+        for written, weights in toxicity.accepted(machines[0], symbols):
+            out += [(x, [v + w for v, w in zip(weights, more)]) for x, more in cascade(machines[1:], written)]
+        return out
+
+    for n in (1, 2, 3):
+        for clause in itertools.product(words, repeat=n):
+            read = [symbol(w) for w in clause]
+            whole, plain = toxicity.accepted(grammar.machine, read), cascade(parts, read)
+            assert whole == plain and len(whole) == 1
+            kinds, weights = whole[0]
+            assert grammar.paths(read) == [([k for k in kinds if k], [w for k, w in zip(kinds, weights) if k])]
+    for clause in (["she", "said", "you", "no", "longer", "shut", "up", "idiot"], ["kill", "tree", "not", "tree", "tree", "idiot", "idiot"]):
+        read = [symbol(w) for w in clause]
+        assert toxicity.accepted(grammar.machine, read) == cascade(parts, read)
+
+
+def plain_figures(grammar, text):
+    """The figures of a text by rules written out for each clause, without machines (single words only)."""
+    out = dict.fromkeys(toxicity.ARCS, 0.0)
+    heaviest = 0.0
+    for clause in re.split(r"[.!?;:]+(?!\d)|\n", (text or "").lower()):
+        words = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause)
+        listed = lambda w, names: w in names
+        total = 0.0
+        for i, w in enumerate(words):
+            learned = max([grammar.insults.get(s, 0.0) for s in [w + "$", *(w[:n] for n in toxicity.STEM_LENGTHS if len(w) > n)]])
+            insult, threat = listed(w, toxicity.INSULTS) or learned > 0, listed(w, toxicity.THREATS)
+            if not insult and not threat:
+                continue
+            weight = max(learned, 1.0 if listed(w, toxicity.INSULTS) or threat else 0.0)
+            aimed = any(listed(x, toxicity.TARGETS) for x in words)
+            if any(listed(x, toxicity.REPORTS) for x in words[:i + 1]):
+                kind = "reported"
+            elif any(listed(x, toxicity.NEGATIONS) for x in words[max(0, i - 3):i + 1]):
+                kind = "negated"
+            else:
+                kind = "threat" if threat and aimed else "targeted" if aimed else "plain"
+                total += weight
+            out[kind] += weight
+        heaviest = max(heaviest, total)
+    return [float(np.log1p(v)) for v in (*out.values(), heaviest)]
+
+
+def test_scores_against_plain_rules(spark):
+    """op4's scores of all documents, from figures computed without the machines."""
+    docs, labels, scratch = read_table(spark, SMALL, "documents"), read_table(spark, SMALL, "labels"), Scratch(spark)
+    grammar = fit_grammar(docs, labels, scratch, ~(toxicity.F.crc32(toxicity.F.col("doc_id").cast("string")) % 5 == 0))
+    listed = {w for p in toxicity.PATTERNS.values() for x in p for w in [x]}
+    rows = [r for r in docs.collect() if not any(x in " ".join(re.findall(r"\w+", (r.text or "").lower())) for x in listed)]
+    want = {r.doc_id: float(grammar.score(np.array([plain_figures(grammar, r.text)]))[0]) for r in rows}
+    got = {r.doc_id: r.score for r in queries.op4_toxicity(spark, SMALL).collect()}
+    assert len(want) > 150 and all(abs(got[i] - s) < 1e-9 for i, s in want.items())
+
+
 def test_unlearned_grammar_ranks_clauses():
     grammar = Grammar()
-    score = {t: float(grammar.score(np.array([grammar.arcs(tokens_of(t), toxicity._Classes(grammar))]))[0])
+    score = {t: float(grammar.score(np.array([grammar.arcs(tokens_of(t), toxicity._Symbols(grammar))]))[0])
              for t in ("You are an idiot.", "He is not an idiot.", "A fine day.")}
     assert score["You are an idiot."] > 0.5 > score["He is not an idiot."] > score["A fine day."]
 

@@ -7,33 +7,9 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from cladeframe.llm.common import Scratch, read_table
 from cladeframe.llm.quality import fit_quality, statistics
-from cladeframe.llm.toxicity import _Classes, fit_grammar, tokens_of
+from cladeframe.llm.toxicity import _Symbols, fit_grammar, tokens_of
 from tests.conftest import SMALL
-from tests.llm.test_dedup import brute_near
-
-
-def plain_passages(rows):
-    """Earliest unit kept; runs of 20 words of later ones go."""
-    import re
-
-    pattern = re.compile(r"[^\n.,;:!?]*[\n.,;:!?][\n.,;:!? \t\r]*|[^\n.,;:!?]+")
-    seen, out = set(), {}
-    for i, text in sorted(rows):
-        kept, run, n = [], [], 0
-        for unit in [*pattern.findall(text), None]:
-            norm = None if unit is None else re.sub(r"[ \t\r\n]+", " ", unit.lower()).strip(" ")
-            if norm is not None and norm in seen:
-                run.append(unit)
-                n += len(norm.split(" ")) if norm else 0
-                continue
-            if n < 20:
-                kept += run
-            run, n = [], 0
-            if unit is not None:
-                seen.add(norm)
-                kept.append(unit)
-        out[i] = "".join(kept)
-    return out
+from tests.llm.test_dedup import brute_near, plain_passages
 
 
 def test_pipeline(spark):
@@ -51,7 +27,7 @@ def test_pipeline(spark):
 
     grammar = fit_grammar(good, labels, Scratch(spark))
     clean = scratch.save(stages["toxicity"](spark, good, SMALL))
-    rows = {i: t for i, t in rows.items() if grammar.score(np.array([grammar.arcs(tokens_of(t), _Classes(grammar))]))[0] < 0.5}
+    rows = {i: t for i, t in rows.items() if grammar.score(np.array([grammar.arcs(tokens_of(t), _Symbols(grammar))]))[0] < 0.5}
     assert clean.columns == columns and {r.doc_id: r.text for r in clean.collect()} == rows
 
     single = scratch.save(stages["near_dedup"](spark, clean, SMALL))
@@ -60,7 +36,7 @@ def test_pipeline(spark):
     assert single.columns == columns and {r.doc_id: r.text for r in single.collect()} == rows
 
     cut = scratch.save(stages["substring_dedup"](spark, single, SMALL))
-    rows = plain_passages(rows.items())
+    rows = {i: t for i, (t, _) in plain_passages(rows.items()).items()}
     assert cut.columns == columns and {r.doc_id: r.text for r in cut.collect()} == rows
     assert all(r.n_chars == len(r.text) for r in cut.collect())
 
