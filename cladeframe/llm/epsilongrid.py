@@ -22,6 +22,8 @@ from cladeframe.llm.common import Scratch
 from cladeframe.llm.components import connected_components
 
 BLOCK, LEAF, FAN, LEVELS, GRID_DIMENSIONS = 1024, 128, 16, 3, 6
+#: Blocks on each side of a tile; a block travels once for each tile that it is in.
+TILE = 8
 
 
 def _vectors(column) -> np.ndarray:
@@ -29,6 +31,12 @@ def _vectors(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors; scaled first, since squares of very small or large numbers have no place in a double."""
+    x = x / np.abs(x).max(axis=1, initial=0.0)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def principal_axes(points: DataFrame, dims: int) -> dict[int, np.ndarray]:
     """Leading principal axes of the unit vectors for each vector length.
 
@@ -41,8 +49,7 @@ def principal_axes(points: DataFrame, dims: int) -> dict[int, np.ndarray]:
         for batch in batches:
             size = np.asarray(batch.column("size"))
             for d in np.unique(size):
-                x = _vectors(batch.column("embedding").filter(pa.array(size == d)))
-                x = x / np.linalg.norm(x, axis=1)[:, None]
+                x = _unit(_vectors(batch.column("embedding").filter(pa.array(size == d))))
                 z = np.c_[np.ones(len(x)), x]
                 sums[int(d)] = sums.get(int(d), 0) + z.T @ z
         for d, m in sums.items():
@@ -77,8 +84,7 @@ def _blocks(points: DataFrame, axes: dict[int, np.ndarray], eps: float, scratch:
             size = np.asarray(batch.column("size"))
             for d in np.unique(size):
                 rows = batch.filter(pa.array(size == d))
-                x = _vectors(rows.column("embedding"))
-                at = (x / np.linalg.norm(x, axis=1)[:, None]) @ axes[int(d)]
+                at = _unit(_vectors(rows.column("embedding"))) @ axes[int(d)]
                 at = np.c_[at, np.zeros((len(at), dims - at.shape[1]))]
                 cell = np.floor(at / eps).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
@@ -87,6 +93,7 @@ def _blocks(points: DataFrame, axes: dict[int, np.ndarray], eps: float, scratch:
                     ["label", "size", "id", "weight", "embedding", "cell", "at"])
 
     kinds = dict(points.dtypes)
+    exact = "<f4" if kinds["embedding"] == "array<float>" else "<f8"
     placed = points.mapInArrow(place, f"label {kinds['label']}, size int, id long, weight long, embedding {kinds['embedding']}, "
                                       "cell array<int>, at array<double>")
     order = ["label", "size", "cell", "id"]
@@ -122,7 +129,7 @@ def _blocks(points: DataFrame, axes: dict[int, np.ndarray], eps: float, scratch:
                     room = BLOCK - sum(len(h[0]) for h in held)
                     take = batch.slice(lo, min(room, hi - lo))
                     held.append((np.asarray(take.column("id")).astype("<i8"), np.asarray(take.column("weight")).astype("<i8"),
-                                 _vectors(take.column("embedding")).astype("<f8"), _vectors(take.column("at"))))
+                                 _vectors(take.column("embedding")).astype(exact), _vectors(take.column("at"))))
                     lo += take.num_rows
                     if take.num_rows == room:
                         yield flush()
@@ -163,7 +170,7 @@ def _block_pairs(blocks: DataFrame, eps: float, scratch: Scratch) -> DataFrame:
         if level:
             frontier = pairs.select("label", "size", "pa", F.col("ia").alias("ua"), "pb", F.col("ib").alias("ub"))
         else:
-            frontier = pairs.select("pa", "ia", "pb", "ib")
+            frontier = pairs.select("label", "size", "pa", "ia", "pb", "ib")
     return frontier
 
 
@@ -196,68 +203,79 @@ def _join(a: tuple, b: tuple, eps: float, cosine: float, same: bool, emit) -> No
             _join(a, (y[h], q[h], j[h]), eps, cosine, same, emit)
 
 
-def _linked(blocks: DataFrame, pairs: DataFrame, eps: float, cosine: float) -> DataFrame:
-    """``id, links, other``: per point and block pair its linked weight and one spanning link."""
-    # a block meets about 8 partners in a slice; it goes to each of its slices, a partner to one
-    slices = pairs.groupBy("pa", "ia").agg(F.ceil(F.count(F.lit(1)) / 8).cast("int").alias("slices"))
-    numbered = pairs.join(slices, ["pa", "ia"]).select(
-        "pa", "ia", "pb", "ib", F.pmod(F.xxhash64("pb", "ib"), F.col("slices")).cast("int").alias("slice"))
+def _linked(blocks: DataFrame, pairs: DataFrame, kind: str, eps: float, cosine: float) -> DataFrame:
+    """``id, links, other``: per point and block pair its linked weight and one spanning link.
+
+    Neighbours of the sequence, ``TILE`` blocks each, make a side; a task gets both sides
+    of a tile and joins what the pairs of blocks in it ask for.
+    """
+    sided = pairs.select("label", "size", "pa", "ia", "pb", "ib", F.floor(F.col("ia") / TILE).cast("int").alias("ta"), F.floor(F.col("ib") / TILE).cast("int").alias("tb"))
+    key = ["label", "size", "pa", "ta", "pb", "tb"]
+    left = sided.select(*key, F.col("pa").alias("part"), F.col("ia").alias("seq"), F.lit(True).alias("left"), F.lit(False).alias("right"))
+    right = sided.select(*key, F.col("pb").alias("part"), F.col("ib").alias("seq"), F.lit(False).alias("left"), F.lit(True).alias("right"))
+    members = left.union(right).groupBy(*key, "part", "seq").agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right"))
     payload = blocks.select("part", "seq", "ids", "weights", "data", "places")
-    heads = numbered.select("pa", "ia", "slice").distinct().join(
-        payload, (F.col("pa") == F.col("part")) & (F.col("ia") == F.col("seq"))).select(
-        "pa", "ia", "slice", F.lit(0).alias("role"), "part", "seq", "ids", "weights", "data", "places")
-    partners = numbered.join(payload, (F.col("pb") == F.col("part")) & (F.col("ib") == F.col("seq"))).select(
-        "pa", "ia", "slice", F.lit(1).alias("role"), "part", "seq", "ids", "weights", "data", "places")
-    rows = heads.union(partners).repartition("pa", "ia", "slice").sortWithinPartitions("pa", "ia", "slice", "role")
+    rows = members.join(payload, ["part", "seq"]).repartition(*key).sortWithinPartitions(*key, "part", "seq")
+    width = "<f4" if kind == "array<float>" else "<f8"
 
     def block(row: dict) -> tuple:
         ids = np.frombuffer(row["ids"], dtype="<i8")
-        x = np.frombuffer(row["data"], dtype="<f8").reshape(len(ids), -1)
-        x = x / np.linalg.norm(x, axis=1)[:, None]
+        x = _unit(np.frombuffer(row["data"], dtype=width).astype(np.float64).reshape(len(ids), -1))
         places = np.frombuffer(row["places"], dtype="<f8").reshape(len(ids), -1)
         return ids, np.frombuffer(row["weights"], dtype="<i8"), x, places
 
+    def joined(a: tuple, b: tuple):
+        (ia, wa, xa, pa_), (ib, wb, xb, pb_) = a, b
+        same, na = a is b, len(ia)
+        ids, weights = (ia, wa) if same else (np.r_[ia, ib], np.r_[wa, wb])
+        shift = 0 if same else na
+        links = np.zeros(len(ids), dtype=np.int64)
+        root = np.arange(len(ids))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def emit(at, to, hit):
+            i, j = np.nonzero(hit)
+            i, j = i + at, j + to + shift
+            links[:] += np.bincount(i, weights=weights[j], minlength=len(ids)).astype(np.int64)
+            links[:] += np.bincount(j, weights=weights[i], minlength=len(ids)).astype(np.int64)
+            found.append((i, j))
+
+        one = (xa, pa_, np.arange(na))
+        _join(one, one if same else (xb, pb_, np.arange(len(ib))), eps, cosine, same, emit)
+        if not found:
+            return None
+        i, j = (np.concatenate(f) for f in zip(*found))
+        while True:  # least label in this pair of blocks
+            before = root.copy()
+            least = np.minimum(root[i], root[j])
+            np.minimum.at(root, i, least)
+            np.minimum.at(root, j, least)
+            root = root[root]
+            if (root == before).all():
+                break
+        hit = np.flatnonzero(links)
+        return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit]), pa.array(ids[root[hit]])], ["id", "links", "other"])
+
     def run(batches):
-        head, head_key = None, None
+        tile, held = None, []
+
+        def settle():
+            # each pair of blocks once: the left one comes first in the sequence
+            for at, (place, is_left, _, a) in enumerate(held):
+                for other, _, is_right, b in held[at:] if is_left else ():
+                    if is_right:
+                        got = joined(a, b)
+                        if got is not None:
+                            yield got
+
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in ("role", "part", "seq", "ids", "weights", "data", "places")}
-                if row["role"] == 0:
-                    head, head_key = block(row), (row["part"], row["seq"])
-                    continue
-                other = block(row)
-                same = head_key == (row["part"], row["seq"])
-                (ia, wa, xa, pa_), (ib, wb, xb, pb_) = head, (head if same else other)
-                na = len(ia)
-                ids, weights = (ia, wa) if same else (np.r_[ia, ib], np.r_[wa, wb])
-                shift = 0 if same else na
-                links = np.zeros(len(ids), dtype=np.int64)
-                root = np.arange(len(ids))
-                found: list[tuple[np.ndarray, np.ndarray]] = []
-
-                def emit(at, to, hit):
-                    i, j = np.nonzero(hit)
-                    i, j = i + at, j + to + shift
-                    links[:] += np.bincount(i, weights=weights[j], minlength=len(ids)).astype(np.int64)
-                    links[:] += np.bincount(j, weights=weights[i], minlength=len(ids)).astype(np.int64)
-                    found.append((i, j))
-
-                a = (xa, pa_, np.arange(na))
-                b = a if same else (xb, pb_, np.arange(len(ib)))
-                _join(a, b, eps, cosine, same, emit)
-                if not found:
-                    continue
-                i, j = (np.concatenate(f) for f in zip(*found))
-                while True:  # least label in this pair of blocks
-                    before = root.copy()
-                    least = np.minimum(root[i], root[j])
-                    np.minimum.at(root, i, least)
-                    np.minimum.at(root, j, least)
-                    root = root[root]
-                    if (root == before).all():
-                        break
-                hit = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit]), pa.array(ids[root[hit]])], ["id", "links", "other"])
+                row = {c: batch.column(c)[k].as_py() for c in (*key, "part", "seq", "left", "right", "ids", "weights", "data", "places")}
+                if tuple(row[c] for c in key) != tile:
+                    yield from settle()
+                    tile, held = tuple(row[c] for c in key), []
+                held.append(((row["part"], row["seq"]), row["left"], row["right"], block(row)))
+        yield from settle()
 
     return rows.mapInArrow(run, "id long, links long, other long")
 
@@ -272,6 +290,7 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = 0.93, id_
     components link with nothing.  Equal vectors with equal labels link with each
     other.  ``component_id`` is the least id reachable by links, ``kept`` says that it is the
     row's own.  Ids are taken to be unique; vectors that repeat an id share its links and component.
+    Null ids stay, alone.  Other columns are ignored; an empty table gives an empty result.
     """
     eps = float(np.sqrt(2 - 2 * cosine)) + 1e-9
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label"))
@@ -284,7 +303,7 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = 0.93, id_
     axes = principal_axes(points, GRID_DIMENSIONS)
     blocks = _blocks(points, axes, eps, scratch)
     pairs = scratch.save(_block_pairs(blocks, eps, scratch))
-    got = scratch.save(_linked(blocks, pairs, eps, cosine))
+    got = scratch.save(_linked(blocks, pairs, dict(points.dtypes)["embedding"], eps, cosine))
     links = got.groupBy("id").agg(F.sum("links").alias("links"))
     component = connected_components(got.select(F.col("id").alias("a"), F.col("other").alias("b")), scratch)
     known = points.join(links, "id", "left").join(component, points["id"] == component["node"], "left").select(
