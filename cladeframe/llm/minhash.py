@@ -11,12 +11,13 @@ over the whole signature, and it is a candidate with at least ``RETAINED`` of
 ``COORDINATES``.  Candidates are confirmed on full shingle sets.
 
 No list is expanded into all of its pairs.  Round one compares a list's members
-with its hub (least id) only.  A hub and the documents near it form a star; a task
-confirms a whole star at once from products of its incidence matrix and returns
-the components that its links span.  Round two compares what is left between
-different components and no common star: per list the members of the largest
-component are dealt out over slices, the others go to every slice.  Lists that lie
-within one component are skipped.  Linked documents of one component need no
+with its hub (least id) only.  A hub and the documents near it form a star, cut into
+slices of ``STAR`` documents that all hold the hub; a task confirms a slice at once from
+products of its incidence matrix and returns the components that its links span.  Round
+two compares what is left between different components and no common star: per list the
+members of the largest component and the others are dealt out over slices, and pairs of
+slices (others with others, others with the largest component) form tiles, so no task
+holds more than two slices of a list.  Lists that lie within one component are skipped.  Linked documents of one component need no
 further pairs, so the components are those of all links.
 """
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.llm.common import chunks, give_back, map_texts, ragged, Scratch
@@ -36,8 +37,12 @@ LANES, MATCHES = 32, 13
 COORDINATES, RETAINED = 128, 77
 #: Coordinates that a document shares with a hub to belong to its star (lower, so that stars are whole).
 NEAR_HUB = 58
-#: Members of a list, or partners of a hub, in one slice; shingles that a task holds of a star.
-SLICE, STAR_SHINGLES = 4096, 3_000_000
+#: Members of a list in one slice; partners of a hub in one slice; shingles that a task holds of a star.
+SLICE, STAR, STAR_SHINGLES = 1024, 1024, 3_000_000
+#: Pairs of a hub and a partner for each task that confirms them.
+PAIRS_PER_TASK = 256
+#: Lists (about 30 bytes each) whose main component may be broadcast; beyond that they are joined by a shuffle.
+MAX_BROADCAST_LISTS = 500_000
 #: Stars that a document remembers, to skip pairs which a star has settled.
 STARS = 4
 #: Ids that may be broadcast (8 bytes each); beyond that tables are joined by shuffles.
@@ -116,7 +121,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n, d1, d2, sig``: set size, two digests of the set, signature."""
+    """``doc_id, n, d1, d2, sig, text_hash``: set size, two digests of the set, signature, and a hash of the text."""
 
     def run(batch):
         sets = shingle_sets(batch.column(1).to_pylist(), width)
@@ -124,11 +129,11 @@ def sketch(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str =
         d2 = np.array([np.bitwise_xor.reduce(_mix(s)) if len(s) else 0 for s in sets], dtype=np.uint64)
         return pa.RecordBatch.from_arrays([
             batch.column(0), pa.array([len(s) for s in sets], "int64"), pa.array(_signed(d1)), pa.array(_signed(d2)),
-            pa.array([signature(s) if len(s) else None for s in sets], "binary")],
-            ["doc_id", "n", "d1", "d2", "sig"])
+            pa.array([signature(s) if len(s) else None for s in sets], "binary"), batch.column(2)],
+            ["doc_id", "n", "d1", "d2", "sig", "text_hash"])
 
-    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")),
-                     run, "doc_id long, n long, d1 long, d2 long, sig binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return map_texts(rows, run, "doc_id long, n long, d1 long, d2 long, sig binary, text_hash long")
 
 
 def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +217,7 @@ def _hub_pairs(prefixed: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _cross_pairs(prefixed: DataFrame, label: DataFrame, member: DataFrame) -> DataFrame:
+def _cross_pairs(prefixed: DataFrame, label: DataFrame, member: DataFrame, scratch: Scratch) -> DataFrame:
     """Round two: candidate pairs ``a < b`` between different components and without a common star.
 
     ``label(id, component)`` covers documents that have links so far, ``member(id, stars)``
@@ -224,15 +229,28 @@ def _cross_pairs(prefixed: DataFrame, label: DataFrame, member: DataFrame) -> Da
     one = named.select("id", "n", "sig", "component", "stars", F.explode("shared").alias("s")).where("s.in_prefix") \
         .select("id", "n", "sig", "component", "stars", F.col("s.lane").alias("lane"), value.alias("value"))
     parts = one.groupBy("lane", "value", "component").agg(F.count(F.lit(1)).alias("members"))
-    mixed = parts.groupBy("lane", "value").agg(
+    mixed = scratch.save(parts.groupBy("lane", "value").agg(
         F.count(F.lit(1)).alias("components"), F.max(F.struct("members", "component")).alias("top"),
         F.sum("members").alias("members")).where("components > 1").select(
-        "lane", "value", F.col("top.component").alias("main"), F.ceil(F.col("members") / SLICE).cast("int").alias("slices"))
-    rows = one.join(mixed, ["lane", "value"]).withColumn("own_slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")) \
-        .withColumn("is_main", F.col("component") == F.col("main"))
-    slices = F.when(F.col("is_main"), F.array("own_slice")).otherwise(F.sequence(F.lit(0), F.col("slices") - 1))
-    rows = rows.select("lane", "value", F.explode(slices).alias("slice"), "is_main", "own_slice", "id", "n", "sig", "component", "stars")
-    rows = rows.repartition("lane", "value", "slice").sortWithinPartitions("lane", "value", "slice", "is_main", "id")
+        "lane", "value", F.col("top.component").alias("main"), F.ceil(F.col("top.members") / SLICE).cast("int").alias("main_slices"),
+        F.ceil((F.col("members") - F.col("top.members")) / SLICE).cast("int").alias("slices")))
+    rows = one.join(F.broadcast(mixed) if mixed.count() <= MAX_BROADCAST_LISTS else mixed, ["lane", "value"])
+    rows = rows.withColumn("is_main", F.col("component") == F.col("main"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("main_slices")).otherwise(F.col("slices"))).cast("int"))
+
+    def each(n: str, tile) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col(n) - 1), tile)
+
+    def tile(kind: int, x: Column, y: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+
+    tiles = F.when(F.col("is_main"), each("slices", lambda t: tile(1, F.col("own"), t))).otherwise(F.concat(
+        each("slices", lambda t: tile(0, F.least(F.col("own"), t), F.greatest(F.col("own"), t))),
+        each("main_slices", lambda t: tile(1, t, F.col("own")))))
+    key = ["lane", "value", "kind", "x", "y"]
+    rows = rows.select("lane", "value", F.explode(tiles).alias("t"), "is_main", "own", "id", "n", "sig", "component", "stars") \
+        .select("lane", "value", "t.kind", "t.x", "t.y", "is_main", "own", "id", "n", "sig", "component", "stars")
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "is_main", "id")
 
     def pairs(lane, a, b):
         """Candidates between two blocks (id, n, lanes, component, rest, stars arrays), each met first in this lane."""
@@ -257,48 +275,38 @@ def _cross_pairs(prefixed: DataFrame, label: DataFrame, member: DataFrame) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     def run(batches):
-        key, others, flushed = None, [], False
+        key, others = None, []
 
-        def own_pairs():
-            """Pairs among the other members: this slice's against those with larger ids."""
-            if not others:
+        def among_others():
+            """Pairs of two slices of the others, or within one."""
+            if key is None or key[2] != 0 or not others:
                 return
             every = [np.concatenate([o[k] for o in others]) for k in range(7)]
-            mine = every[6] == key[2]
-            left = [x[mine] for x in every[:6]]
-            for lo in range(0, len(every[0]), 1024):
-                block = [x[lo:lo + 1024] for x in every[:6]]
-                for got in pairs(key[0], left, block):
-                    yield got
-            others[:] = [every]
+            left, right = ([c[every[6] == side] for c in every[:6]] for side in key[3:5])
+            for lo in range(0, len(right[0]), 1024):
+                yield from pairs(key[0], left, [c[lo:lo + 1024] for c in right])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = list(zip(batch.column("lane").to_pylist(), batch.column("value").to_pylist(), batch.column("slice").to_pylist(),
-                            batch.column("is_main").to_pylist()))
+            keys = list(zip(*(batch.column(k).to_pylist() for k in ("lane", "value", "kind", "x", "y", "is_main"))))
             cut = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
             lanes, rest = _matrix(batch.column("sig"))
             stars = np.asarray(batch.column("stars").flatten()).reshape(-1, STARS)
-            ids, n, comp, own = (np.asarray(batch.column(k)) for k in ("id", "n", "component", "own_slice"))
+            ids, n, comp, own = (np.asarray(batch.column(k)) for k in ("id", "n", "component", "own"))
             for lo, hi in zip(cut, cut[1:]):
-                if keys[lo][:3] != key:
-                    if not flushed and key is not None:
-                        yield from own_pairs()
-                    key, flushed = keys[lo][:3], False
+                if keys[lo][:5] != key:
+                    yield from among_others()
+                    key = keys[lo][:5]
                     others.clear()
-                rows_ = [ids[lo:hi], n[lo:hi], lanes[lo:hi], comp[lo:hi], rest[lo:hi], stars[lo:hi], own[lo:hi]]
-                if not keys[lo][3]:
-                    others.append([x.copy() for x in rows_])
+                columns = [ids[lo:hi], n[lo:hi], lanes[lo:hi], comp[lo:hi], rest[lo:hi], stars[lo:hi], own[lo:hi]]
+                if not keys[lo][5]:
+                    others.append([c.copy() for c in columns])
                     continue
-                if not flushed:
-                    yield from own_pairs()
-                    flushed = True
                 for other in others:
                     for at in range(0, hi - lo, 1024):
-                        yield from pairs(key[0], other[:6], [x[at:at + 1024] for x in rows_[:6]])
-        if not flushed and key is not None:
-            yield from own_pairs()
+                        yield from pairs(key[0], other[:6], [c[at:at + 1024] for c in columns[:6]])
+        yield from among_others()
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -315,13 +323,15 @@ def _hub_rows(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     texts = scratch.save(_with_ids(docs.select("doc_id", "text"), ids).dropDuplicates(["doc_id"]))
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("slices"))
     side = texts.select(F.col("doc_id").alias("b"), "text")
     partners = pairs.join(hubs, "a").join(side, "b").select(
         "a", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"), "b", "text", F.lit(1).alias("role"))
     heads = hubs.join(side.withColumnRenamed("b", "a"), "a").select(
         "a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("a").alias("b"), "text", F.lit(0).alias("role"))
-    return heads.union(partners).repartition("a", "slice").sortWithinPartitions("a", "slice", "role")
+    # by number and not by bytes: these rows cost far more time than others of their size
+    tasks = max(1, min(100_000, -(-pairs.count() // PAIRS_PER_TASK)))
+    return heads.union(partners).repartition(tasks, "a", "slice").sortWithinPartitions("a", "slice", "role")
 
 
 def _similar(both: int, n: int, m: int, percent: int):
@@ -433,8 +443,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     Two documents are linked if 100 * intersection >= ``percent`` * union of their
     distinct ``width``-word shingles (at least 80, for which the candidates are made).
     One row per input row; documents without words (or null) are alone; rows that
-    repeat an id share their component and are kept or not together; null ids
-    have null components and are kept.
+    repeat an id share their component and are kept or not together, and the largest
+    set among their texts (ties by digest) stands for them all; null ids have null
+    components and are kept.  Other columns are ignored; an empty table gives an empty
+    result.
     """
     if percent < 80:
         raise ValueError("candidates are made for similarities of 80 percent or more")
@@ -442,6 +454,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     sets = scratch.save(sketch(docs, width))
     real = sets.where("n > 0 and doc_id is not null")
     classes = ["n", "d1", "d2"]
+    repeated = scratch.save(real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct(*classes, "text_hash")).alias("most")).where("rows > 1"))
+    if not repeated.isEmpty():
+        # one text stands for an id
+        keep = repeated.select("doc_id", F.col("most.text_hash").alias("standing"))
+        stands = F.col("standing").isNull() | (F.col("standing") == F.col("text_hash"))
+        real = real.join(keep, "doc_id", "left").where(stands).drop("standing")
+        docs = docs.withColumn("text_hash", F.xxhash64("text")).join(keep, "doc_id", "left").where(stands).select("doc_id", "text")
     reps = scratch.save(real.groupBy(*classes).agg(F.min(F.struct("doc_id", "sig")).alias("r")).select(
         *classes, F.col("r.doc_id").alias("id"), F.col("r.sig").alias("sig")))
     prefixed = _prefixes(reps, scratch)
@@ -453,7 +472,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     own = F.sort_array(F.collect_set("b"))
     member = scratch.save(stars.where("kind = 1").groupBy(F.col("a").alias("id")).agg(own.alias("s")).select(
         "id", F.transform(F.sequence(F.lit(1), F.lit(STARS)), lambda k: F.element_at("s", F.least(k, F.size("s")))).alias("stars")))
-    more = scratch.save(_cross_pairs(prefixed, label, member))
+    more = scratch.save(_cross_pairs(prefixed, label, member, scratch))
     links = scratch.save(links.union(_confirm(docs, more, width, percent, scratch)))
     scratch.drop(prefixed, first, more, label, member)
     # the copies of one id or one set are linked through their representative
