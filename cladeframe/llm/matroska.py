@@ -134,20 +134,31 @@ def _elements(data: bytes, at: int, end: int, stop: frozenset | set = frozenset(
         if kind in stop:
             return
         size, body, unknown = _vint(data, body, end, False)
+        last = body + size
         if unknown:
-            last = end if kind in (SEGMENT, EBML) else body
-            if kind not in (SEGMENT, EBML):
-                for inner, _, inner_last, place in _elements(data, body, end, _TOP):
-                    last = inner_last
-        else:
-            last = body + size
+            last = end if kind in (SEGMENT, EBML) else _end_of_unknown(data, body, end)
         if last > end:
             raise MatroskaError(f"element {kind:#x} at byte {at} runs over its parent")
         yield kind, body, last, at
         at = last
 
 
+def _end_of_unknown(data: bytes, at: int, end: int) -> int:
+    """Where an element of unknown size ends; those inside of it that are unknown as well end there too."""
+    while at < end:
+        kind, body, _ = _vint(data, at, end, True)
+        if kind in _TOP:
+            return at
+        size, body, unknown = _vint(data, body, end, False)
+        at = body if unknown else body + size
+    if at > end:
+        raise MatroskaError(f"an element runs over its parent at byte {end}")
+    return at
+
+
 def _number(data: bytes, lo: int, hi: int) -> int:
+    if hi - lo > 8:
+        raise MatroskaError(f"integer of {hi - lo} bytes at byte {lo}")
     return int.from_bytes(data[lo:hi], "big")
 
 
@@ -161,6 +172,8 @@ def _frames(data: bytes, lo: int, hi: int) -> tuple[int, int, int, list[tuple[in
     lacing = flags >> 1 & 3
     if not lacing:
         return track, time, flags, [(at, hi - at)]
+    if at >= hi:
+        raise MatroskaError(f"truncated lacing at byte {lo}")
     n = data[at] + 1
     at += 1
     if lacing == 2:  # fixed sizes
@@ -172,8 +185,10 @@ def _frames(data: bytes, lo: int, hi: int) -> tuple[int, int, int, list[tuple[in
     if lacing == 1:  # sums of bytes up to one below 255
         for _ in range(n - 1):
             size = 0
-            while data[at] == 255:
+            while at < hi and data[at] == 255:
                 size, at = size + 255, at + 1
+            if at >= hi:
+                raise MatroskaError(f"truncated lacing at byte {lo}")
             sizes.append(size + data[at])
             at += 1
     else:  # a first size, then signed differences
@@ -233,6 +248,8 @@ def parse(data: bytes) -> dict:
                             number, time, flags, frames = _frames(data, p, q)
                             step = tracks.get(number, {}).get("default_duration", 0)
                             at = (base + time) * scale
+                            if at + len(frames) * step >= 1 << 63 or place >= 1 << 63:
+                                raise MatroskaError(f"timestamp out of range at byte {p}")
                             key = k == BLOCK_GROUP or bool(flags & 0x80)
                             packets += [(number, at + i * step, key, o, s, len(clusters) - 1, blocks)
                                         for i, (o, s) in enumerate(frames)]
@@ -300,8 +317,9 @@ def media_from_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The payload is the text in UTF-8 and blanks up to a positive multiple of the
     frame size (null: empty, so one frame of blanks).  Returns ``doc_id, n_bytes,
     payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``
-    and, with ``keep_media``, ``media``; one row per input row.  What is hashed is
-    read back from the stored bytes.
+    and, with ``keep_media``, ``media``; one row per input row (repeated rows and null ids
+    stay, an empty table gives an empty result, other columns are ignored).  What is
+    hashed is read back from the stored bytes.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
@@ -329,7 +347,9 @@ def packets(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
 
     Returns ``doc_id, packet, track, codec, timestamp_ns, keyframe, offset, size,
     cluster, block``.  A null or malformed buffer gives one row whose ``error`` says
-    why and whose other columns are null; a file without frames gives no row.
+    why and whose other columns but ``doc_id`` are null; a file without frames gives no
+    row, as does an empty table; repeated rows have their packets each.  Other columns of
+    the input are ignored.
     """
     names = ["doc_id", "packet", "track", "codec", "timestamp_ns", "keyframe", "offset", "size", "cluster", "block", "error"]
 
@@ -340,7 +360,7 @@ def packets(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
                 if media is None:
                     raise MatroskaError("null")
                 parsed = parse(media)
-            except (MatroskaError, IndexError, struct.error) as e:
+            except (MatroskaError, IndexError, OverflowError, struct.error) as e:
                 rows.append((key, *[None] * 9, str(e)))
                 continue
             for i, (t, at, key_frame, o, s, c, b) in enumerate(parsed["packets"]):

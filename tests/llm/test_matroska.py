@@ -2,12 +2,15 @@
 
 import hashlib
 import os
+import random
 import struct
 import zlib
 
 import pytest
 
 from cladeframe.llm import matroska as mk
+from cladeframe.llm.common import read_table
+from tests.conftest import SMALL
 
 
 @pytest.mark.parametrize("frames", [1, 2, 64, 65, 64 * 16, 64 * 16 * 3 + 5])
@@ -77,3 +80,51 @@ def test_texts_and_packet_table(spark):
     bad = spark.createDataFrame([(1, b"\x1a\x45\xdf"), (2, None), (3, b"")], "doc_id long, media binary")
     assert mk.packets(bad).where("error is not null").count() == 3
     assert mk.media_from_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_malformed_media_is_reported_and_never_fails(spark):
+    """Integers that are too long, endless nesting, laces over their block, and random damage."""
+    good = mk.write(b"x" * 192 * 80)
+    nested = mk._HEAD + b"\x18\x53\x80\x67\x01" + b"\xff" * 7 + b"\x1f\x43\xb6\x75\x01" + b"\xff" * 7 + (b"\xa0" + b"\x01" + b"\xff" * 7) * 3000
+    cluster = lambda body: mk._HEAD + mk.element(mk.SEGMENT, mk.element(mk.CLUSTER, body))
+    long_time = cluster(mk.element(mk.TIMESTAMP, b"\x01" * 12))
+    late = cluster(mk.element(mk.TIMESTAMP, b"\xff" * 8) + mk.element(mk.SIMPLE_BLOCK, b"\x81\0\0\x80abc"))
+    xiph = cluster(mk.element(mk.SIMPLE_BLOCK, b"\x81\0\0\x82\x02\xff\xff") + mk.element(mk.SIMPLE_BLOCK, b"\x81\0\0\x80abc"))
+    bare = cluster(mk.element(mk.SIMPLE_BLOCK, b"\x81\0\0\x82"))
+    r = random.Random(6)
+    damaged = []
+    for _ in range(150):
+        data = bytearray(good[:r.randrange(1, len(good))] if r.random() < 0.3 else good)
+        for _ in range(r.randrange(1, 6)):
+            data[r.randrange(min(len(data), 400))] = r.randrange(256)
+        damaged.append(bytes(data))
+    media = [good, None, b"", nested, long_time, late, xiph, bare, *damaged]
+    rows = spark.createDataFrame([(i, bytearray(m) if m is not None else None) for i, m in enumerate(media)], "doc_id long, media binary")
+    got = mk.packets(rows).collect()
+    errors = {x.doc_id: x.error for x in got if x.error is not None}
+    assert {1, 2, 4, 5, 6, 7} <= errors.keys() and 0 not in errors and sum(x.doc_id == 0 for x in got) == 80
+    assert "12 bytes" in errors[4] and "out of range" in errors[5] and "lacing" in errors[6] and "lacing" in errors[7]
+    for x in got:  # what is listed lies inside the buffer
+        assert x.error is not None or x.offset + x.size <= len(media[x.doc_id])
+
+
+def test_figures_of_the_query_against_the_text(spark):
+    """Stored bytes and figures, from the texts alone and a reader that looks for nothing but the frames' pattern."""
+    docs = read_table(spark, SMALL, "documents")
+    got = {x.doc_id: x for x in mk.media_from_texts(docs).collect()}
+    for row in docs.collect():
+        raw = (row.text or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        x = got[row.doc_id]
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert x.tail_crc32 == zlib.crc32(payload[-16:]) and x.media_bytes == len(x.media) and x.media_sha256 == hashlib.sha256(x.media).hexdigest()
+        media, at, blocks = bytes(x.media), 0, 0
+        for lo in range(0, len(payload), 192 * 64):  # blocks lie in the file in order, with their bytes in one piece
+            at = media.index(payload[lo:lo + 192 * 64], at) + len(payload[lo:lo + 192 * 64])
+            blocks += 1
+        figures = dict(f.split("=") for f in x.feature.split(";"))
+        n = list(payload)
+        want = {"packets": len(payload) // 192, "blocks": blocks, "clusters": -(-blocks // 16), "cues": -(-blocks // 16), "ms": len(payload) // 192 * 24,
+                "sum": sum(n), "energy": sum(v * v for v in n), "peak": max(n), "crossings": sum((a >= 128) != (b >= 128) for a, b in zip(n, n[1:])),
+                "steps": sum(abs(a - b) for a, b in zip(n, n[1:]))}
+        assert {k: int(v) for k, v in figures.items()} == want
