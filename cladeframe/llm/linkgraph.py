@@ -9,6 +9,8 @@ rule decides.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,11 @@ from cladeframe.llm.common import Scratch
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block"))
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
-DAMPING, ROUNDS = 0.85, 10
+DAMPING, TOLERANCE = 0.85, 0.005
+#: After so many steps less than ``TOLERANCE`` of all trust (and of all distrust) is still on its way, whatever the graph.
+ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
+#: A host is blocked only if its distrust exceeds its trust by more than this share (rounding of sums).
+MARGIN = 1e-9
 #: Hosts that may be broadcast to the pages; beyond that pages and hosts are joined by a shuffle.
 MAX_BROADCAST_HOSTS = 200_000
 
@@ -49,11 +55,11 @@ def _fitting(host: Column, path: Column, rules, value) -> Column:
     return out
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """``src, dst, n`` between different hosts: links of pages, and hosts with the domain above."""
+def host_edges(pages: DataFrame, keep=lambda df: df) -> DataFrame:
+    """``src, dst, n`` between different hosts: links of pages, and hosts with the domain above (``keep`` may store what is read twice)."""
     links = pages.select("host", F.explode(F.array_distinct(F.transform(
         F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)), _lower))).alias("dst"))
-    linked = links.groupBy(F.col("host").alias("src"), "dst").agg(F.count(F.lit(1)).alias("n"))
+    linked = keep(links.groupBy(F.col("host").alias("src"), "dst").agg(F.count(F.lit(1)).alias("n")))
     hosts = pages.select("host").union(linked.select("dst")).distinct()
     # example.com is above a.b.example.com twice over; top-level domains link nothing
     above = hosts.select(F.col("host").alias("src"), F.expr("substring(host, instr(host, '.') + 1)").alias("dst")) \
@@ -91,13 +97,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
                                     F.sum(F.when(F.col("kind") == 1, F.col("r")).otherwise(0.0)).alias("distrust"))
 
 
-def judge_urls(pages: DataFrame, scratch: Scratch, rules=RULES, threshold: float = 0.0,
+def judge_urls(pages: DataFrame, scratch: Scratch, rules=RULES, margin: float = MARGIN,
                rounds: int = ROUNDS) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust``, one row per page.
 
     ``verdict`` is the fitting rule's; without one it is ``block`` if the host's
-    distrust minus its trust, both rounded to 12 decimals, exceeds ``threshold`` and
-    ``allow`` else (so hosts that neither reaches are allowed).  A null url, or one
+    distrust exceeds its trust by more than the share ``margin``, and ``allow`` else (so
+    hosts that neither reaches are allowed); only the ratio of the two counts, so the
+    size of the web doesn't matter.  Rows that repeat a page count as often as they occur,
+    other columns are ignored, an empty table gives an empty result.  A null url, or one
     without ``://``, has an empty host and path, fits no rule and is allowed; null
     html has no links.
     """
@@ -106,12 +114,12 @@ def judge_urls(pages: DataFrame, scratch: Scratch, rules=RULES, threshold: float
     ruled = _fitting(F.col("host"), F.col("path"), rules, lambda r: r[2])
     seeds = named.where("host <> ''").select("host", ruled.alias("v")).groupBy("host").agg(
         F.count_if(F.col("v") == "allow").alias("good"), F.count_if(F.col("v") == "block").alias("bad"))
-    edges = scratch.save(host_edges(named))
+    edges = scratch.save(host_edges(named, scratch.save))
     scores = scratch.save(propagate(edges, seeds, scratch, rounds=rounds).select(
-        F.col("host").alias("scored"), F.round("trust", 12).alias("trust"), F.round("distrust", 12).alias("distrust")))
+        F.col("host").alias("scored"), "trust", "distrust"))
     small = scores.count() <= MAX_BROADCAST_HOSTS
     return named.select("page_id", "host", "path", rule.alias("rule"), ruled.alias("ruled")).join(
         F.broadcast(scores) if small else scores, F.col("host") == F.col("scored"), "left").select(
         "page_id", "host", "path", "rule",
-        F.coalesce("ruled", F.when(F.col("distrust") - F.col("trust") > threshold, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce("ruled", F.when(F.col("distrust") > F.col("trust") * F.lit(1 + margin), "block").otherwise("allow")).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
