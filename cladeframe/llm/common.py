@@ -58,6 +58,17 @@ def map_texts(df: DataFrame, fn, schema: str, text: str = "text") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(docs: DataFrame, score, condition: str, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose scored text meets a condition, with all columns as they were.
+
+    ``score(df)`` adds columns to a table; it sees the text beside one struct of the rest,
+    so that none of the caller's columns can clash with what it adds.
+    """
+    rest = F.struct(*([F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(True)]))
+    found = score(docs.select(rest.alias("rest"), F.col(text))).where(condition)
+    return found.select(*[F.col(text) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+
+
 def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row number and position of every element of rows with these lengths."""
     lengths = np.asarray(lengths, dtype=np.int64)

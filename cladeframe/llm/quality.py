@@ -133,12 +133,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fold: Column | None = None,
 def score_quality(docs: DataFrame, model: Quadratic, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """All columns of ``docs`` and ``quality_score`` (0 to 1) and ``quality_predicted`` (0 or 1).
 
-    Null and empty texts score as texts without words; nothing but the text is used.
+    Null and empty texts score as texts without words; nothing but the text is used.  One
+    row per input row, so repeated rows score alike and an empty table gives none.
+    Columns of ``docs`` with these two names, in any case, are replaced; ``keep_rows`` goes
+    around that.
     """
+    docs = docs.drop("quality_score", "quality_predicted")
     fields = [*docs.schema.fields]
-    if {"quality_score", "quality_predicted"} & {f.name for f in fields}:
-        docs = docs.drop("quality_score", "quality_predicted")
-        fields = [*docs.schema.fields]
 
     def run(batches):
         for batch in batches:
@@ -150,8 +151,6 @@ def score_quality(docs: DataFrame, model: Quadratic, text_col: str = "text", thr
                     [*part.schema.names, "quality_score", "quality_predicted"])
         give_back()
 
-
-
     schema = StructType([*fields, StructField("quality_score", DoubleType()), StructField("quality_predicted", IntegerType())])
     return docs.mapInArrow(run, schema)
 

@@ -19,59 +19,63 @@ from cladeframe.llm.toxicity import toxicity_scores
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with repeated passages removed: cleaned text, removed units and characters, spans of the original."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup(docs, Scratch(spark))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets are at least 80 percent similar, confirmed on full sets."""
     return near_duplicates(read_table(spark, sf_dir, "documents"), Scratch(spark), width=4, percent=80)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens; null and empty texts are their end token."""
     return pack(read_table(spark, sf_dir, "documents"), Scratch(spark), keep_ids=False)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by the grammar, learned outside the held-out fifth; empty and null texts have no arcs."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     held = crc32_mod("doc_id", 5) == 0
     return toxicity_scores(docs, labels, Scratch(spark), ~held).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded texts of all documents, as digests; a null text is empty."""
     return piece_digests(read_table(spark, sf_dir, "documents"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of all documents; a null text is empty."""
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.93; unsound vectors are alone."""
     return near_vectors(read_table(spark, sf_dir, "embeddings"), Scratch(spark))
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as media and read back, as digests and figures; a null text is empty."""
     return media_from_texts(read_table(spark, sf_dir, "documents"), keep_media=False)
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of all pages; a null url has neither host nor path and is allowed."""
     return judge_urls(read_table(spark, sf_dir, "pages"), Scratch(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by the discriminant, learned outside the held-out third; texts without words are one point."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     held = crc32_mod("doc_id", 3) == 1
     return quality_scores(docs, labels, ~held).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_minhash_near_dedup, op3_packing, op4_toxicity, op5_sentencepiece, op6_token_counts,
-    op7_embedding_near_dedup, op8_media_columns, op9_url_filters, op10_quality_classifier, pipeline)}
+    op7_embedding_near_dedup, op8_media_columns, op9_url_filters, op10_quality_classifier)}
 
 # -- DuckDB SQL --------------------------------------------------------------
 
@@ -202,10 +206,9 @@ WITH after AS (
   UNION ALL SELECT host, 1, count(*) FILTER (ruled = 'block') FROM ruled WHERE host <> '' GROUP BY host
 ), r0 AS (SELECT kind, host, w / sum(w) OVER (PARTITION BY kind) AS r FROM seeds WHERE w > 0
 ), {steps},
-scores AS (SELECT host, round(sum(CASE WHEN kind = 0 THEN r ELSE 0 END), 12) AS trust,
-                  round(sum(CASE WHEN kind = 1 THEN r ELSE 0 END), 12) AS distrust FROM r{rounds} GROUP BY host)
+scores AS (SELECT host, sum(CASE WHEN kind = 0 THEN r ELSE 0 END) AS trust, sum(CASE WHEN kind = 1 THEN r ELSE 0 END) AS distrust FROM r{rounds} GROUP BY host)
 SELECT p.page_id, p.host, p.path, p.rule,
-       coalesce(p.ruled, CASE WHEN s.distrust - s.trust > 0 THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(p.ruled, CASE WHEN s.distrust > s.trust * {1 + linkgraph.MARGIN!r}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled p LEFT JOIN scores s ON s.host = p.host
 """
 

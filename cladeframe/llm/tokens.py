@@ -50,7 +50,9 @@ def piece_round_trip(df: DataFrame, model: str = "piece_bpe_32k.model",
     """SentencePiece ids of every text and the text that they decode to.
 
     Returns ``doc_id, ids (decimal, joined by commas), n_tokens, decoded``.  A null
-    text counts as empty: no ids, decoded to the empty text.
+    text counts as empty: no ids, decoded to the empty text.  One row per input row
+    (repeated rows and null ids stay); an empty table gives an empty result; other
+    columns are ignored.
     """
     return _pieces(df, model, id_col, text_col, False)
 

@@ -431,7 +431,9 @@ def _figures(rows: DataFrame, grammar: Grammar) -> tuple[np.ndarray, np.ndarray]
 def score_toxicity(docs: DataFrame, grammar: Grammar, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """All columns of ``docs``, ``toxicity_score`` (0 to 1) and ``toxicity_predicted`` (0 or 1).
 
-    Null and empty texts match no clause and get the score of such texts.
+    Null and empty texts match no clause and get the score of such texts.  One row per
+    input row, so repeated rows score alike and an empty table gives none.  Columns of
+    ``docs`` with these two names, in any case, are replaced; ``keep_rows`` goes around that.
     """
     docs = docs.drop("toxicity_score", "toxicity_predicted")
 

@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from cladeframe.llm import minhash, queries, substrings
+from cladeframe.llm import epsilongrid, minhash, queries, substrings
 from cladeframe.llm.common import Scratch, read_table
 from cladeframe.llm.components import connected_components
 from cladeframe.llm.epsilongrid import near_vectors
@@ -92,6 +92,7 @@ def variants(r, base, n, share):
 @pytest.mark.parametrize("slice_size", [4096, 8])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, slice_size):
     monkeypatch.setattr(minhash, "SLICE", slice_size)
+    monkeypatch.setattr(minhash, "STAR", slice_size)
     r = random.Random(11)
     base = [f"w{r.randrange(10**6)}" for _ in range(120)]
     other = [f"w{r.randrange(10**6)}" for _ in range(200)]
@@ -246,6 +247,30 @@ def test_vectors_against_brute_force(spark):
     assert near_vectors(vectors.where("false"), Scratch(spark)).count() == 0
 
 
+def test_vectors_of_extreme_size_and_many_blocks(spark, monkeypatch):
+    """Squares beyond what a double holds, and tiles of several blocks."""
+    rows = [(1, [1.0, 2.0], 0), (2, [2.0, 4.0], 0), (3, [1e-200, 0.0], 0), (4, [2e-200, 1e-210], 0), (5, [1e200, 2e200], 0), (6, [5e-324, 0.0], 0)]
+    got = {v.vec_id: (v.n_links, v.component_id) for v in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), Scratch(spark)).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 5: (2, 1), 3: (2, 3), 4: (2, 3), 6: (2, 3)}
+    monkeypatch.setattr(epsilongrid, "BLOCK", 16)
+    monkeypatch.setattr(epsilongrid, "TILE", 3)
+    r = np.random.default_rng(4)
+    x = np.float32(np.repeat(r.normal(size=(40, 8)), 12, axis=0) + r.normal(size=(480, 8)) * 0.2)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    links = [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.93, 1)))]
+    component, degree = union_find(range(480), links), np.bincount(np.array(links).ravel(), minlength=480)
+    vectors = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {v.vec_id: (v.n_links, v.component_id) for v in near_vectors(vectors, Scratch(spark)).collect()}
+    assert got == {i: (int(degree[i]), component[i]) for i in range(480)}
+
+
+def test_one_text_stands_for_a_repeated_id(spark):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(base)), (2, "some other short text of seven words"), (2, " ".join(base[:-1])), (3, "some other short text of seven words")]
+    got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()))
+    assert got == [(1, 56, 1, True), (2, 3, 1, False), (2, 55, 1, False), (3, 3, 3, True)]
+
+
 def test_queries_cover_whole_tables(spark):
     n = read_table(spark, SMALL, "documents").count()
     for name in ("op1_substring_dedup", "op2_minhash_near_dedup", "op4_toxicity", "op5_sentencepiece", "op6_token_counts", "op8_media_columns", "op10_quality_classifier"):
