@@ -14,9 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder, from ``spark.checkpoint.dir``.
+
+    Where that isn't set, a local master gets a temporary folder; on a cluster it is an
+    error, since each machine would write to a disk of its own.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="cladeframe-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
