@@ -19,7 +19,7 @@ from cladeframe.llm.toxicity import toxicity_scores
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with repeated passages removed: cleaned text, removed units and characters, spans of the original."""
+    """All documents with repeated passages removed: cleaned text, removed spans and characters, offsets of the original."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup(docs, Scratch(spark))
 
@@ -113,10 +113,10 @@ WITH chunks AS (
 ), spans AS (
   SELECT doc_id, min(first) AS first, max(last) AS last FROM islands GROUP BY doc_id, island
 ), placed AS (
-  SELECT s.doc_id, s.last - s.first + 1 AS n, a.stop - a.len AS start, b.stop AS stop FROM spans s
+  SELECT s.doc_id, a.stop - a.len AS start, b.stop AS stop FROM spans s
   JOIN summed a ON a.doc_id = s.doc_id AND a.pos = s.first JOIN summed b ON b.doc_id = s.doc_id AND b.pos = s.last
 ), lists AS (
-  SELECT doc_id, sum(n)::BIGINT AS n, sum(stop - start)::BIGINT AS chars, list(start ORDER BY start) AS starts, list(stop ORDER BY start) AS stops,
+  SELECT doc_id, count(*) AS n, sum(stop - start)::BIGINT AS chars, list(start ORDER BY start) AS starts, list(stop ORDER BY start) AS stops,
          string_agg(start || '+' || (stop - start), ';' ORDER BY start) AS spans FROM placed GROUP BY doc_id
 )
 SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN coalesce(text, '') ELSE array_to_string(list_transform(range(0, len(starts) + 1), lambda i:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cladeframe.llm.common import Scratch, chunks, give_back
 
 #: A unit ends after a word whose length in bytes and last byte (A-Z lower-cased) sum up to a multiple of this.
-CUT = 5
+CUT = 10
 #: Bytes of text that are hashed at once.
 SLICE_BYTES = 1 << 20
 #: Windows that a task holds to tell repeats among them from what the others must see (about 100 bytes each).
@@ -100,8 +100,10 @@ def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     end = np.flatnonzero(closes) + 1
     # such a word ends its unit together with the blanks after it
     lower = _LOWER[data]
-    cut = np.flatnonzero(((end - at + lower[end - 1]) % CUT == 0)[:-1] & (kind[at[1:]] == 0)) if len(at) else np.empty(0, np.int64)
-    begin[at[cut + 1]] = True
+    ends = ((end - at + lower[end - 1]) % CUT == 0) & np.concatenate([kind[at[1:]] == 0, [False]]) if len(at) else np.empty(0, bool)
+    last = np.searchsorted(at, row_start + size, side="left") - 1
+    ends[last[last >= 0]] = False  # the next word is another text's
+    begin[at[np.flatnonzero(ends) + 1]] = True
     start = np.flatnonzero(begin)
     of_word = np.searchsorted(at, start, side="left")
     until = np.concatenate([of_word[1:], [len(at)]]) if len(start) else of_word
@@ -111,11 +113,11 @@ def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def windows(texts: list[str], min_words: int) -> tuple[np.ndarray, ...]:
-    """Row, first and last unit in the row, first and last character (exclusive) and digests of every window."""
+    """Row, first character, end and digests of every window."""
     row, start, words, digest, leads = units(texts)
     n = len(row)
     if not n:
-        return tuple(np.empty(0, np.int64) for _ in range(5)) + (np.empty((2, 0), np.uint64),)
+        return tuple(np.empty(0, np.int64) for _ in range(3)) + (np.empty((2, 0), np.uint64),)
     upto = np.concatenate([[0], np.cumsum(words)])
     bounds = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1, [n]])
     low = np.repeat(bounds[:-1], np.diff(bounds))
@@ -132,17 +134,18 @@ def windows(texts: list[str], min_words: int) -> tuple[np.ndarray, ...]:
     begins = np.concatenate([chars[start] - 1, [int(chars[-1])]])
     text_begin = begins[low]
     digests = np.stack([_rolled(digest[k], a, b, k) for k in range(2)])
-    return row[a], a - low[a], b - 1 - low[a], begins[a] - text_begin[a], begins[b] - text_begin[a], digests
+    return row[a], begins[a] - text_begin[a], begins[b] - text_begin[a], digests
 
 
 def window_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """``h1, h2, doc_id, version, first, last, start, stop, later`` of the windows of ``docs(doc_id, version, text)``.
+    """``h1, h2, doc_id, version, start, length, later`` of the windows of ``docs(doc_id, version, text)``.
 
-    ``later`` marks those that the same task met with a lesser rank: they are decided, and
-    so one that a third of all documents hold goes on as one row for ``HELD_WINDOWS`` of a task.
+    A digest has 96 bits.  ``later`` marks windows that the same task met with a lesser
+    rank: they are decided, and their digest is one of their own, so a window that a
+    third of all documents hold goes on as one row for ``HELD_WINDOWS`` of a task.
     """
-    names = ["h1", "h2", "doc_id", "version", "first", "last", "start", "stop", "later"]
-    kinds = ["int64", "int64", "int64", "int32", "int32", "int32", "int32", "int32", "bool"]
+    names = ["h1", "h2", "doc_id", "version", "start", "length", "later"]
+    kinds = ["int64", "int32", "int64", "int32", "int32", "int32", "bool"]
 
     def flush(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in zip(*held)]
@@ -159,17 +162,20 @@ def window_table(docs: DataFrame, min_words: int) -> DataFrame:
             # of equal ranks (a row that occurs twice) all are first
             rank, heads = np.cumsum(fresh(5)), np.flatnonzero(fresh(2))
             later[order] = rank > rank[heads][np.cumsum(fresh(2)) - 1]
+            own = _mix((columns[2][later] * 1_000_003 + columns[4][later]).view(np.uint64))
+            columns[0][later] = own.view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*columns, later], kinds)], names)
 
     def run(batches):
         held, count = [], 0
         for batch in batches:
             for part in chunks(batch, "text", max_bytes=SLICE_BYTES):
-                row, first, last, start, stop, digest = windows(part.column("text").to_pylist(), min_words)
+                row, start, stop, digest = windows(part.column("text").to_pylist(), min_words)
                 if not len(row):
                     continue
                 ids, version = np.asarray(part.column("doc_id")), np.asarray(part.column("version"))
-                held.append([digest[0].view(np.int64), digest[1].view(np.int64), ids[row], version[row], first, last, start, stop])
+                held.append([digest[0].view(np.int64), (digest[1] >> np.uint64(32)).astype(np.uint32).view(np.int32).astype(np.int64),
+                             ids[row], version[row].astype(np.int64), start, stop - start])
                 count += len(row)
                 if count >= HELD_WINDOWS:
                     yield flush(held)
@@ -179,28 +185,31 @@ def window_table(docs: DataFrame, min_words: int) -> DataFrame:
         give_back()
 
     return docs.select("doc_id", "version", "text").mapInArrow(
-        run, "h1 long, h2 long, doc_id long, version int, first int, last int, start int, stop int, later boolean")
+        run, "h1 long, h2 int, doc_id long, version int, start int, length int, later boolean")
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, min_words: int = 20) -> DataFrame:
-    """``doc_id, version, spans``: what to remove of each document, as ``(start, stop, n)`` in characters, with its ``n`` units."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _version(F.col("text")).alias("version"), "text") \
-        .where("doc_id is not null and text is not null")
-    found = scratch.save(window_table(texts, min_words))
-    place = ["doc_id", "version", "first", "last", "start", "stop"]
-    least = F.min(F.struct("doc_id", "version", "first")).over(Window.partitionBy("h1", "h2"))
-    later = found.where("not later").withColumn("least", least).where(F.struct("doc_id", "version", "first") != F.col("least"))
-    later = later.select(*place).union(found.where("later").select(*place)).distinct()
-    by_doc = Window.partitionBy("doc_id", "version").orderBy("first", "last")
+    """``doc_id, version, spans``: what to remove of each document, as ``(start, stop)`` in characters.
+
+    ``version`` is null unless ids repeat with different texts, which it tells apart.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    hashes = texts.groupBy("doc_id").agg(F.min(_version(F.col("text"))).alias("a"), F.max(_version(F.col("text"))).alias("b"))
+    unique = hashes.where("a <> b").isEmpty()
+    found = window_table(texts.withColumn("version", F.lit(0) if unique else _version(F.col("text"))), min_words)
+    rank = F.struct("doc_id", "version", "start")
+    least = F.min(F.when(~F.col("later"), rank)).over(Window.partitionBy("h1", "h2"))
+    # what is first in its task and everywhere ends here, most of all rows
+    later = found.withColumn("least", least).where(F.col("later") | (rank != F.col("least"))) \
+        .select("doc_id", "version", "start", (F.col("start") + F.col("length")).alias("stop"))
+    by_doc = Window.partitionBy("doc_id", "version").orderBy("start", "stop")
     # windows that touch or overlap are one span
-    before = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    islands = later.withColumn("opens", F.when(F.col("first") <= before + 1, 0).otherwise(1)).withColumn(
+    before = F.max("stop").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    islands = later.withColumn("opens", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn(
         "island", F.sum("opens").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = islands.groupBy("doc_id", "version", "island").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("last") - F.min("first") + 1).alias("n"))
-    out = scratch.save(spans.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "n"))).alias("spans")))
-    scratch.drop(found)
-    return out
+    spans = islands.groupBy("doc_id", "version", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return scratch.save(spans.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+                        .withColumn("version", F.lit(None).cast("int") if unique else F.col("version")))
 
 
 def _version(text: Column) -> Column:
@@ -211,8 +220,8 @@ def _version(text: Column) -> Column:
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """All columns of ``docs`` with ``text`` cleaned, and ``n_removed, removed_chars, spans``.
 
-    ``spans``: ``start+length`` in characters of the original text, joined by ``;``.  Columns of
-    ``docs`` that have these names are replaced.
+    ``n_removed`` counts the removed spans; ``spans``: ``start+length`` in characters of the
+    original text, joined by ``;``.  Columns of ``docs`` that have these names are replaced.
     """
     small = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= MAX_BROADCAST_SPANS
     made = ("n_removed", "removed_chars", "spans")
@@ -220,7 +229,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     text, spans = F.col("row.text"), spans.select(F.col("doc_id").alias("span_doc"), F.col("version").alias("span_version"), F.col("spans").alias("cut"))
     wide = rows.join(F.broadcast(spans) if small else spans, (F.col("row.doc_id").cast("long") == F.col("span_doc"))
-                     & (_version(text) == F.col("span_version")), "left")
+                     & F.coalesce(_version(text) == F.col("span_version"), F.lit(True)), "left")
     # what stays lies between the end of a span and the start of the next
     froms = F.concat(F.array(F.lit(0)), F.transform("cut", lambda s: s["stop"]))
     tos = F.concat(F.transform("cut", lambda s: s["start"]), F.array(F.length(text)))
@@ -232,7 +241,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     return wide.select(
         *[clean.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in made],
-        total(lambda s: s["n"]).alias("n_removed"), total(lambda s: s["stop"] - s["start"]).alias("removed_chars"),
+        F.when(F.col("cut").isNull(), 0).otherwise(F.size("cut")).cast("long").alias("n_removed"), total(lambda s: s["stop"] - s["start"]).alias("removed_chars"),
         F.coalesce(F.array_join(F.transform("cut", lambda s: F.concat(
             s["start"].cast("string"), F.lit("+"), (s["stop"] - s["start"]).cast("string"))), ";"), F.lit("")).alias("spans"))
 
@@ -249,7 +258,7 @@ def clean_texts(docs: DataFrame, scratch: Scratch, min_words: int = 20) -> DataF
 def substring_dedup(docs: DataFrame, scratch: Scratch, min_words: int = 20) -> DataFrame:
     """Every document with repeated passages removed (see the module's text).
 
-    One row per input row, with all of its columns; ``n_removed`` (units), ``removed_chars`` and
+    One row per input row, with all of its columns; ``n_removed`` (spans), ``removed_chars`` and
     ``spans`` replace columns of these names.  Null texts become empty.  Rows without an
     id keep their text and take no part.  Rows that repeat an id with the same text are one
     document and cut alike; with other texts they are documents of their own, ranked by

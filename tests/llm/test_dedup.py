@@ -198,7 +198,7 @@ def test_patchwork_stays(spark):
     rows = [*enumerate(clauses), (10, " ".join(clauses)), (11, f"one two three {passage} four five"), (12, f"something else {passage} at last")]
     got = {x.doc_id: x for x in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()}
     assert got[10].n_removed == 0 and got[11].n_removed == 0
-    assert got[12].removed_chars > 0.8 * len(passage) and got[12].text.startswith("something else")
+    assert got[12].removed_chars > 0.6 * len(passage) and got[12].text.startswith("something else")
 
 
 def test_passages_go_and_short_lines_stay(spark):
