@@ -34,12 +34,31 @@ def select_genomes(table: DataFrame, lineages: DataFrame, exported: DataFrame |
         if kind != "mag":
             rows = rows.where(~F.contains("taxonomy", F.lit("unclassified")))
         if exported is not None:
-            rows = rows.join(exported.select("id").distinct(), "id", "left_anti")
+            rows = without_exported(rows, exported)
     w = Window.partitionBy("id").orderBy(F.desc("url"))
     rows = rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
     return top_per_species(rows, max_per_species) if max_per_species else rows
 
 
+def without_exported(rows: DataFrame, exported: DataFrame) -> DataFrame:
+    """Rows whose id was not exported before."""
+    return rows.join(exported.select("id").distinct(), "id", "left_anti")
+
+
+def selected(given: DataFrame, lineage: DataFrame, key: str = "genome_id") -> DataFrame:
+    """Genomes that were asked for and that the lineage holds, each once."""
+    return given.select(key).intersect(lineage.select(key))
+
+
+def by_superkingdom(parts: list[DataFrame], key: str = "id") -> DataFrame:
+    """Genomes of several superkingdoms in one table; of equal ids that of the last part counts."""
+    every = parts[0].withColumn("_part", F.lit(0))
+    for k, part in enumerate(parts[1:], 1):
+        every = every.unionByName(part.withColumn("_part", F.lit(k)))
+    columns = [c for c in parts[0].columns if c != key]
+    return every.groupBy(key).agg(F.max(F.struct("_part", *columns)).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in columns])
+
+
 def top_per_species(rows: DataFrame, limit: int, by: str = "taxonomy", level: str = "assembly_level", key: str = "id") -> DataFrame:
     """At most ``limit`` rows per species: better assembly levels first, then by the MD5 of the id."""
     ranked = rows.withColumn("_prio", assembly.level_priority(F.col(level))).where("_prio is not null")

@@ -111,10 +111,15 @@ def busco_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.round(assembly.busco_contamination(F.col("missing"), F.col("k")), 6).alias("contamination"))
 
 
+#: Exclusion tags of the test rows: none, single and several, in mixed case, with empty parts.
+TAGS = ("", "na", "derived from single cell", "chimeric; derived from single cell", "partial", "contaminated; x", "Derived from Single Cell;",
+        "Contaminated", "; genus undefined ;", "Partial;Chimeric", "from large multi-isolate project; Missing strain identifier")
+
+
 def summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as an assembly summary."""
     o = F.col("o_orderkey")
-    tag = F.element_at(F.array(*map(F.lit, ("", "na", "derived from single cell", "chimeric; derived from single cell", "partial", "contaminated; x"))), (o % 6 + 1).cast("int"))
+    tag = F.element_at(F.array(*map(F.lit, TAGS)), (o % len(TAGS) + 1).cast("int"))
     level = F.element_at(F.array(*map(F.lit, ("Complete Genome", "Chromosome", "Scaffold", "Contig", "Other"))), (o % 5 + 1).cast("int"))
     return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("species_taxid"), F.concat(F.lit("https://host/GCA_"), o.cast("string")).alias("ftp_path"),
@@ -122,13 +127,19 @@ def summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(o % 11 == 0, "reference genome").when(o % 11 == 1, "representative genome").otherwise("na").alias("refseq_category"), level.alias("assembly_level"))
 
 
-SUMMARY_SQL = """summary AS (SELECT o_custkey AS species_taxid, 'https://host/GCA_' || o_orderkey AS ftp_path,
+def _listed(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+SUMMARY_SQL = f"""summary AS (SELECT o_custkey AS species_taxid, 'https://host/GCA_' || o_orderkey AS ftp_path,
   CASE WHEN o_orderkey % 9 = 0 THEN 'Partial' ELSE 'Full' END AS genome_rep,
-  ['', 'na', 'derived from single cell', 'chimeric; derived from single cell', 'partial', 'contaminated; x'][o_orderkey % 6 + 1] AS excluded_from_refseq,
+  [{', '.join(f"'{t}'" for t in TAGS)}][o_orderkey % {len(TAGS)} + 1] AS excluded_from_refseq,
   CASE o_orderkey % 11 WHEN 0 THEN 'reference genome' WHEN 1 THEN 'representative genome' ELSE 'na' END AS refseq_category,
   ['Complete Genome', 'Chromosome', 'Scaffold', 'Contig', 'Other'][o_orderkey % 5 + 1] AS assembly_level FROM orders),
-assemblies AS (SELECT *, ['reference', 'reference', 'reference', 'na', 'mag', 'na'][list_position(['', 'na', 'derived from single cell', 'chimeric; derived from single cell', 'partial', 'contaminated; x'], excluded_from_refseq)] AS type,
-  string_split(ftp_path, '/')[-1] AS id, ftp_path || '/' || string_split(ftp_path, '/')[-1] || '_genomic.fna.gz' AS url FROM summary WHERE genome_rep <> 'Partial'),
+tagged AS (SELECT *, list_filter(list_transform(string_split(lower(excluded_from_refseq), ';'), lambda t: trim(t)), lambda t: t <> '') AS tags FROM summary),
+assemblies AS (SELECT * EXCLUDE (tags), CASE WHEN len(tags) = 0 OR tags = ['na'] OR len(list_intersect(tags, [{_listed(assembly.REFERENCE_TAGS)}])) = len(list_distinct(tags)) THEN 'reference'
+  WHEN len(list_intersect(tags, [{_listed(assembly.EXCLUDE_TAGS)}])) > 0 THEN 'na' ELSE 'mag' END AS type,
+  string_split(ftp_path, '/')[-1] AS id, ftp_path || '/' || string_split(ftp_path, '/')[-1] || '_genomic.fna.gz' AS url FROM tagged WHERE genome_rep <> 'Partial'),
 lineages AS (SELECT c_custkey AS species_taxid, 'k__Market|p__' || c_mktsegment || '|c__N' || c_nationkey || '|o__O|f__F|g__G|s__' || CASE WHEN c_custkey % 13 = 0 THEN 'unclassified' ELSE 'S' || c_custkey END AS taxonomy FROM customer)"""
 
 
@@ -173,16 +184,17 @@ def assembly_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "type", "refseq_category", "taxonomy")
 
 
-@book("""SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""")
+@book(f"""WITH {SUMMARY_SQL} SELECT id, type FROM assemblies WHERE id NOT IN (SELECT 'GCA_' || o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
 def anti_join_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(done, "c_custkey", "left_anti")
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("GCA_"), F.col("o_orderkey").cast("string")).alias("id"))
+    return etl.without_exported(etl.assembly_table(summary_table(spark, sf_dir), True), done).select("id", "type")
 
 
-@book("""SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
+@book("""SELECT DISTINCT c_custkey::VARCHAR AS genome_id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
 def semi_join_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(wanted, "c_custkey", "left_semi")
+    given = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("genome_id"))
+    lineage = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").cast("string").alias("genome_id"))
+    return etl.selected(given, lineage)
 
 
 @book("""SELECT id, version, size FROM (SELECT p_brand AS id, p_size::VARCHAR AS version, max(p_partkey) AS size,

@@ -52,7 +52,9 @@ def test_distance(spark, inter, uni, j, ani):
 
 @pytest.mark.parametrize("tags, kind", [
     ("", "reference"), ("na", "reference"), (None, "reference"), ("derived from single cell", "reference"), ("contaminated", "na"),
-    ("derived from single cell; contaminated", "na"), ("partial", "mag"), ("derived from single cell; partial", "mag")])
+    ("derived from single cell; contaminated", "na"), ("partial", "mag"), ("derived from single cell; partial", "mag"),
+    ("Derived from single cell", "reference"), ("derived from single cell;", "reference"), ("Contaminated", "na"), (" ; ", "reference"), ("NA", "reference"),
+    ("na; chimeric", "na"), ("na;", "reference"), ("DERIVED FROM SINGLE CELL ;; Partial", "mag")])
 def test_genome_type(spark, tags, kind):
     assert one(spark, tags)(assembly.genome_type) == kind
 
