@@ -118,7 +118,8 @@ def pairwise_ani(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @book(f"WITH {_PAIRS_SQL} SELECT a, b, ani FROM pairs WHERE ani <= 0.01")
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairwise.replicas(pairwise.pairwise(bits(genomes(spark, sf_dir)), K), 0.01).select("a", "b", "ani")
+    scratch = Scratch(spark)
+    return pairwise.close_pairs(scratch.save(bits(genomes(spark, sf_dir))), K, 0.01, scratch.save)
 
 
 @book(f"""WITH {_PAIRS_SQL} SELECT x.taxonomy, p.a, p.b, coalesce(q.ani, 1.0) AS ani
@@ -126,8 +127,9 @@ FROM (SELECT g.taxonomy, g.genome_id AS a, h.genome_id AS b FROM genomes g JOIN
 JOIN genomes x ON x.genome_id = p.a LEFT JOIN pairs q ON q.a = p.a AND q.b = p.b""")
 def dense_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = genomes(spark, sf_dir)
-    found = pairwise.pairwise(bits(rows), K)
-    return pairwise.dense(found, rows.select("genome_id", "taxonomy"), "taxonomy")
+    groups = rows.select("genome_id", "taxonomy")
+    found = pairwise.within(Scratch(spark).save(bits(rows)), groups, "taxonomy", K)
+    return pairwise.dense(found, groups, "taxonomy")
 
 
 @book(f"""WITH RECURSIVE {_PAIRS_SQL}, close AS MATERIALIZED (SELECT a, b FROM pairs WHERE ani <= 0.01),
@@ -140,7 +142,7 @@ walk(i, dropped) AS (
 SELECT genome_id FROM genomes WHERE NOT list_contains((SELECT dropped FROM walk ORDER BY i DESC LIMIT 1), genome_id)""")
 def dereplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
-    close = scratch.save(pairwise.replicas(pairwise.pairwise(bits(genomes(spark, sf_dir)), K), 0.01).select("a", "b"))
+    close = scratch.save(pairwise.close_pairs(scratch.save(bits(genomes(spark, sf_dir))), K, 0.01, scratch.save).select("a", "b"))
     return linkage.dereplicate(genomes(spark, sf_dir).select("genome_id"), close, scratch.save)
 
 

@@ -14,7 +14,7 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     The reader splits at ``>``, so records of any length are read by whichever task
     holds their start.  A ``>`` inside a header line is not supported.
     ``contig_no`` numbers the records of a file from 0 in file order; line ends are
-    removed from sequences, compressed files are read as such.
+    removed from sequences, which are upper-cased (soft masking is no other base), compressed files are read as such.
     """
     raw = spark.read.text(path, lineSep=">").select(
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
@@ -28,7 +28,7 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     stem = file_stem(F.regexp_replace(F.regexp_replace("_file", r"\.gz$", ""), "%20", " "))
     return raw.select(
         stem.alias("genome_id"), numbered.alias("contig_no"), F.split_part(header, F.lit(" "), F.lit(1)).alias("contig"), header.alias("header"),
-        F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "").alias("seq"))
+        F.upper(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "")).alias("seq"))
 
 
 def collapse(contigs: DataFrame, gap: str = "N") -> DataFrame:

@@ -190,3 +190,71 @@ def test_update_tests_the_boundaries(spark):
     labels = {x.genome_id: x.taxonomy for x in after["genomes"].collect()}
     assert len(labels) == 5 and labels[21] is None
     assert labels[20] == A + "new20"
+
+
+def plain_clusters(ids, near, threshold):
+    """Average linkage over all pairs, means recomputed at every step; clusters by their least member."""
+    held, far = [[i] for i in sorted(ids)], lambda a, b: near.get((min(a, b), max(a, b)), 1.0)
+    mean = lambda p, q: sum(far(a, b) for a in p for b in q) / len(p) / len(q)
+    while len(held) > 1:
+        height, i, j = min((mean(held[i], held[j]), i, j) for i, j in itertools.combinations(range(len(held)), 2))
+        if height > threshold:
+            break
+        held[i] = held[i] + held.pop(j)
+    return {g: min(c) for c in held for g in c}
+
+
+def test_clusters_of_string_ids_and_of_the_query(spark):
+    r = random.Random(7)
+    ids = [f"GCA_{i:03d}" for i in range(40)]
+    near = {(a, b): round(0.02 + r.random() * 0.3, 5) for a, b in itertools.combinations(ids, 2) if r.random() < 0.5 or ids.index(a) // 5 == ids.index(b) // 5}
+    matrix = spark.createDataFrame([("g", a, b, d) for (a, b), d in near.items()] + [("g", "GCA_000", "other", 0.0)], "genus string, a string, b string, ani double")
+    groups = spark.createDataFrame([(i, "g") for i in ids] + [("lone", "h")], "genome_id string, genus string")
+    for threshold in (0.05, 0.2, 1.0):
+        got = {x.genome_id: x.cluster for x in linkage.cluster(matrix, groups, "genus", threshold, Scratch(spark).save).collect()}
+        assert got == plain_clusters(ids, near, threshold) | {"lone": "lone"}
+
+
+def test_average_linkage_query_against_plain_clusters(spark):
+    from cladeframe.plans import profiles
+    from cladeframe.plans.derived import K, bits
+    from cladeframe.plans.derived import genomes as table
+    from tests.conftest import SMALL
+    rows = table(spark, SMALL).where("not is_reference")
+    near = {(x.a, x.b): x.ani for x in pairwise.pairwise(bits(rows), K).collect()}
+    genus = {x.genome_id: x.taxonomy.rsplit("|", 1)[0] for x in rows.collect()}
+    want = {}
+    for g in set(genus.values()):
+        want |= plain_clusters([i for i in genus if genus[i] == g], near, 0.05)
+    got = {x.genome_id: x.cluster for x in profiles.average_linkage_cut(spark, SMALL).collect()}
+    assert got == want and len(got) == 40
+
+
+@pytest.mark.parametrize("holders", [512, 3])
+def test_close_pairs_against_all_pairs(spark, monkeypatch, holders):
+    monkeypatch.setattr(pairwise, "HOLDERS", holders)
+    r = random.Random(2)
+    sets = {}
+    for c in range(12):
+        base = [r.randrange(400) for _ in range(r.choice([1, 5, 60]))]
+        for m in range(6):
+            sets[f"g{c}_{m}"] = set(base) if m < 2 else set(r.sample(base, max(1, int(len(base) * r.uniform(0.7, 1))))) | {r.randrange(400) for _ in range(r.randrange(6))}
+    bits = spark.createDataFrame([(g, b) for g, s in sets.items() for b in s], "genome_id string, bit long")
+    for threshold in (0.0, 0.01, 0.05, 0.3):
+        want = {(x.a, x.b): x.ani for x in pairwise.pairwise(bits, 11).collect() if x.ani <= threshold}
+        got = {(x.a, x.b): x.ani for x in pairwise.close_pairs(bits, 11, threshold, Scratch(spark).save).collect()}
+        assert got == want and len(want) >= 12
+
+
+def test_update_with_string_names_and_two_contigs(spark):
+    """Contigs are joined by N; with an alphabet no k-mer spans them, and one that fits nowhere stays in the pool."""
+    r = random.Random(21)
+    base, far = ("".join(r.choice("ACGT") for _ in range(800)) for _ in range(2))
+    rows = [(f"GCF_{i}", mutated(r, base[:400], 0.004) + "N" + mutated(r, base[400:], 0.004), True, A + "G1") for i in range(4)]
+    scratch, options = Scratch(spark), {"alphabet": "ACGT", "canonical": True}
+    made = lifecycle.index(spark.createDataFrame(rows, "genome_id string, seq string, is_reference boolean, taxonomy string"), None, scratch, 11, 1, **options)
+    assert made["bits"].where("genome_id = 'GCF_0'").count() <= 2 * 390
+    swapped = base[400:].translate(str.maketrans("ACGT", "TGCA"))[::-1] + "N" + base[:400]
+    new = spark.createDataFrame([("GCA_9", swapped), ("GCA_10", far), ("GCA_11", base[:200] + "N" + far)], "genome_id string, seq string")
+    labels = {x.genome_id: x.taxonomy for x in lifecycle.update(made, new, scratch, 11, 1, **options)["genomes"].collect()}
+    assert len(labels) == 7 and labels["GCA_9"] == A + "G1" and labels["GCA_10"] is None
