@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions import assembly
 from cladeframe.functions.taxonomy import in_clade
+from cladeframe.operators.maintain import numbered
 
 
 def assembly_table(summary: DataFrame, full_only: bool = False) -> DataFrame:
@@ -103,7 +104,7 @@ def resolve_names(wanted: DataFrame, known: DataFrame, new: DataFrame) -> DataFr
 def new_taxids(nodes: DataFrame, known: DataFrame, top: int) -> DataFrame:
     """``name, taxid`` for node names that ``known(name, taxid)`` lacks, counted from ``top`` by depth and name."""
     missing = nodes.join(known.select("name"), "name", "left_anti").select("name", "depth").groupBy("name").agg(F.min("depth").alias("depth"))
-    return missing.select("name", (F.row_number().over(Window.orderBy("depth", "name")) + F.lit(top)).alias("taxid"))
+    return numbered(missing, ["depth", "name"], top, "taxid").select("name", "taxid")
 
 
 def taxdump_rows(nodes: DataFrame, ids: DataFrame) -> DataFrame:

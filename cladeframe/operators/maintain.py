@@ -13,13 +13,28 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions.taxonomy import LEVELS, cluster_number, is_cluster_id, last_part
 from cladeframe.operators.linkage import place
-from cladeframe.operators.tree import nodes
+from cladeframe.operators.tree import nodes, paths
+from cladeframe.storage import Scratch
+
+
+def numbered(rows: DataFrame, order: list[str], after: int = 0, column: str = "number") -> DataFrame:
+    """Adds numbers from ``after`` + 1 in a stated order, which must be unique.
+
+    Rows are dealt by ranges of the order, written with the number of their range (which
+    another run of the plan could draw differently) and counted by range; what goes
+    through one task is one number for a range.
+    """
+    dealt = Scratch(rows.sparkSession).save(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    totals = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(F.broadcast(totals.withColumn("_before", before)), "_range").withColumn(
+        column, own + F.col("_before") + F.lit(after)).drop("_range", "_n", "_before")
 
 
 def allocate_ids(rows: DataFrame, order: list[str], after: int = 0, column: str = "cluster_id") -> DataFrame:
     """Adds ``MSBT<n>`` counted from ``after`` + 1 in a stated order (rows: new nodes only)."""
-    number = F.row_number().over(Window.orderBy(*order)) + F.lit(after)
-    return rows.withColumn(column, F.concat(F.lit("MSBT"), number.cast("string")))
+    return numbered(rows, order, after, "_number").withColumn(column, F.concat(F.lit("MSBT"), F.col("_number").cast("string"))).drop("_number")
 
 
 def add(genomes: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -51,6 +66,44 @@ def oldest(clusters: DataFrame, by: str) -> DataFrame:
     return clusters.groupBy(by).agg(F.min_by("cluster_id", cluster_number(F.col("cluster_id"))).alias("cluster_id"))
 
 
+def smallest_species(genomes: DataFrame, nodes_asked: DataFrame) -> DataFrame:
+    """``node, species, n_genomes``: the species with the fewest genomes below each node of ``nodes_asked(node)``, ties to the least name."""
+    below = paths(genomes).select("genome_id", "node", "depth")
+    size = below.where(F.col("depth") == len(LEVELS)).groupBy(F.col("node").alias("species")).agg(F.count(F.lit(1)).alias("n_genomes"))
+    above = size.select("species", "n_genomes", F.explode(F.sequence(F.lit(1), F.lit(len(LEVELS)))).alias("up")).select(
+        F.expr("array_join(slice(split(species, '[|]'), 1, up), '|')").alias("node"), "species", "n_genomes")
+    best = above.join(nodes_asked.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("n_genomes", "species")).alias("b"))
+    return best.select("node", "b.species", "b.n_genomes")
+
+
+def internal_labels(clusters: DataFrame) -> DataFrame:
+    """``name, internal``: each cluster's path with the ids of its levels in place of the names."""
+    steps = clusters.select("name", F.explode(F.sequence(F.lit(1), F.size(F.split("name", r"\|")))).alias("up")).select(
+        "name", "up", F.expr("array_join(slice(split(name, '[|]'), 1, up), '|')").alias("step"))
+    ids = clusters.select(F.col("name").alias("step"), F.concat(F.substring(last_part(F.col("name")), 1, 3), "cluster_id").alias("part"))
+    parts = F.sort_array(F.collect_list(F.struct("up", "part")))
+    return steps.join(ids, "step").groupBy("name").agg(parts.alias("p")).select("name", F.array_join(F.transform("p", lambda x: x["part"]), "|").alias("internal"))
+
+
+def member_lists(genomes: DataFrame) -> DataFrame:
+    """``node, level, references_list, mags_list``: genomes of a species; known and unknown children of other nodes (sorted)."""
+    per = paths(genomes)
+    kind = genomes.select("genome_id", "is_reference")
+    own = per.where(F.col("depth") == len(LEVELS)).join(kind, "genome_id").select("node", "level", F.col("genome_id").cast("string").alias("member"), F.col("is_reference").alias("known"))
+    known = per.join(kind, "genome_id").groupBy("node", "parent", "depth").agg(F.bool_or("is_reference").alias("known")).where("depth > 1")
+    upper = known.select(F.col("parent").alias("node"), F.element_at(F.array(*map(F.lit, LEVELS)), F.col("depth") - 1).alias("level"), F.col("node").alias("member"), "known")
+    listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("member"))))
+    return own.union(upper).groupBy("node", "level").agg(listed(F.col("known")).alias("references_list"), listed(~F.col("known")).alias("mags_list"))
+
+
+def from_report(lists: DataFrame) -> DataFrame:
+    """``genome_id, taxonomy, is_reference`` of the species rows of :func:`member_lists`, to open a database from its report."""
+    species = lists.where(F.col("level") == LEVELS[-1])
+    arms = [species.select(F.explode(c).alias("genome_id"), F.col("node").alias("taxonomy"), F.lit(kind).alias("is_reference"))
+            for c, kind in (("references_list", True), ("mags_list", False))]
+    return arms[0].union(arms[1])
+
+
 def remove(genomes: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Genomes without ``gone(genome_id)``, and the nodes that this empties from species upwards."""
     left = genomes.join(gone.select("genome_id").distinct(), "genome_id", "left_anti")

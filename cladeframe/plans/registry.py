@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules of this package that hold ``QUERIES`` and ``SQL``.
-MODULES = ("scalars", "sketches", "trees", "profiles", "upkeep")
+MODULES = ("scalars", "sketches", "trees", "profiles", "upkeep", "files")
 
 
 def _all(name: str) -> dict:

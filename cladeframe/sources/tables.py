@@ -126,19 +126,58 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return read_commented(spark, path)
 
 
+def catalogue_versions(catalogue: DataFrame) -> DataFrame:
+    """``id, versions``: the rows of each database as structs, the latest first."""
+    columns = [c for c in catalogue.columns if c not in ("id", "version")]
+    entry = F.struct(F.col("version").cast("bigint").alias("n"), "version", *columns)
+    return catalogue.groupBy("id").agg(F.sort_array(F.collect_list(entry), asc=False).alias("versions"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def append_table(rows: DataFrame, path: str, key: str = "id") -> None:
     """Append what is not there yet, by its key, to a Parquet table."""
     spark = rows.sparkSession
-    try:
-        there = spark.read.parquet(path).select(key)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        there = None
-    new = rows if there is None else rows.join(there, key, "left_anti")
+    new = rows.join(spark.read.parquet(path).select(key), key, "left_anti") if exists(spark, path) else rows
     new.write.mode("append").parquet(path)
 
 
+def write_metadata(rows: DataFrame, path: str) -> None:
+    """The one row of a database's metadata as JSON (a folder with one file)."""
+    rows.select(*METADATA_KEYS).coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_lines(rows: DataFrame, order: list[str], path: str, comments: tuple[str, ...] = ()) -> None:
+    """Tab-separated lines in a stated order below comment lines, as one file of a folder; arrays are joined by commas.
+
+    Meant for reports and lists, which are one row for a cluster or genome.
+    """
+    flat = [F.array_join(c, ",").alias(c) if t.startswith("array") else F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c, t in rows.dtypes]
+    body = rows.select(F.lit(1).alias("_part"), F.struct(*order).alias("_order"), F.concat_ws("\t", *flat).alias("value"))
+    head = rows.sparkSession.createDataFrame([(0, k, f"# {c}") for k, c in enumerate(comments)], "_part int, _k int, value string")
+    both = head.select("_part", "_k", F.lit(None).cast(body.schema["_order"].dataType).alias("_order"), "value").unionByName(body.withColumn("_k", F.lit(0)))
+    both.repartition(1).sortWithinPartitions("_part", "_k", "_order").select("value").write.mode("overwrite").text(path)
+
+
+def cached_profiles(queries: DataFrame, path: str, key: str, make) -> DataFrame:
+    """Profiles of ``queries(genome_id, ...)`` kept below ``path``, of which only the missing ones are made.
+
+    ``key`` must name the database's snapshot and all parameters, so a result never serves
+    another database or other limits.  ``make(queries)`` gives ``query, ...`` rows; genomes that
+    have none are remembered as well.
+    """
+    spark, table, done = queries.sparkSession, f"{path}/{key}/profiles", f"{path}/{key}/done"
+    missing = queries.join(spark.read.parquet(done), "genome_id", "left_anti") if exists(spark, done) else queries
+    ids = missing.select("genome_id").distinct()
+    if not ids.isEmpty():
+        make(missing).write.mode("append").parquet(table)
+        ids.write.mode("append").parquet(done)
+    return spark.read.parquet(table).join(queries.select(F.col("genome_id").alias("query")).distinct(), "query", "left_semi")
+
+
 def write_snapshot(tables: dict[str, DataFrame], path: str, snapshot_id: int) -> None:
     """Write the tables of a database as one snapshot; others stay as they are."""
     for name, rows in tables.items():
