@@ -11,10 +11,11 @@ over the whole signature, and it is a candidate with at least ``RETAINED`` of
 ``COORDINATES``.  Candidates are confirmed on full shingle sets.
 
 No list is expanded into all of its pairs.  Round one compares a list's members
-with its hub (least id) only.  A hub and the documents near it form a star, cut into
-slices of ``STAR`` documents that all hold the hub; a task confirms a slice at once from
-products of its incidence matrix and returns the components that its links span.  Round
-two compares what is left between different components and no common star: per list the
+with its hub (least id) only.  A hub and the documents near it form a star.  A task
+confirms a star at once from products of its incidence matrix and returns the components
+that its links span; a star of more than ``TILE`` documents is dealt out over slices, and
+each two of them make a task, so all pairs of a star are settled without being listed.
+Round two compares what is left between different components and no common star: per list the
 members of the largest component and the others are dealt out over slices, and pairs of
 slices (others with others, others with the largest component) form tiles, so no task
 holds more than two slices of a list.  Lists that lie within one component are skipped.  Linked documents of one component need no
@@ -37,8 +38,10 @@ LANES, MATCHES = 32, 13
 COORDINATES, RETAINED = 128, 77
 #: Coordinates that a document shares with a hub to belong to its star (lower, so that stars are whole).
 NEAR_HUB = 58
-#: Members of a list in one slice; partners of a hub in one slice; shingles that a task holds of a star.
-SLICE, STAR, STAR_SHINGLES = 1024, 1024, 3_000_000
+#: Members of a list in one slice; partners of a hub in one slice, where only they and the hub are compared.
+SLICE, STAR = 1024, 1024
+#: Documents and shingles of a star that a task settles at once.
+TILE, STAR_SHINGLES = 2048, 3_000_000
 #: Pairs of a hub and a partner for each task that confirms them.
 PAIRS_PER_TASK = 256
 #: Lists (about 30 bytes each) whose main component may be broadcast; beyond that they are joined by a shuffle.
@@ -175,19 +178,19 @@ def _prefixes(reps: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _hub_pairs(prefixed: DataFrame) -> DataFrame:
-    """Round one: ``a, b`` where b's signature is near that of a list's hub a.
+    """Round one: ``a, b, n`` where b's signature is near that of a list's hub a (n: b's shingles).
 
     Members go to their list in slices by id; the hub goes to every slice.
     """
-    one = prefixed.select("id", "sig", F.explode("shared").alias("s")) \
+    one = prefixed.select("id", "n", "sig", F.explode("shared").alias("s")) \
         .where("s.in_prefix or s.hub = id") \
-        .select("id", "sig", "s.lane", "s.cnt", (F.col("s.hub") == F.col("id")).alias("is_hub"),
+        .select("id", "n", "sig", "s.lane", "s.cnt", (F.col("s.hub") == F.col("id")).alias("is_hub"),
                 F.ceil(F.col("s.cnt") / SLICE).cast("int").alias("slices"))
     slices = F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")))
     # one column of the signature is the list's value, so (lane, value, slice) is the group
     value = F.substring("sig", F.col("lane") * 4 + 1, F.lit(4))
-    rows = one.select("id", "sig", "lane", value.alias("value"), "is_hub", F.explode(slices).alias("slice"))
+    rows = one.select("id", "n", "sig", "lane", value.alias("value"), "is_hub", F.explode(slices).alias("slice"))
     rows = rows.repartition("lane", "value", "slice").sortWithinPartitions("lane", "value", "slice", F.desc("is_hub"))
 
     def run(batches):
@@ -210,11 +213,12 @@ def _hub_pairs(prefixed: DataFrame) -> DataFrame:
             match = (hub_lanes[at + 1] == lanes).sum(axis=1) + (hub_rest[at + 1] == rest).sum(axis=1) >= NEAR_HUB
             take = same & ~is_hub & match
             if take.any():
-                yield pa.RecordBatch.from_arrays([pa.array(a[take]), pa.array(ids[take])], ["a", "b"])
+                n = np.asarray(batch.column("n"))[take]
+                yield pa.RecordBatch.from_arrays([pa.array(a[take]), pa.array(ids[take]), pa.array(n)], ["a", "b", "n"])
             if len(hubs):
                 key, hub = keys[hubs[-1]], (lanes[hubs[-1]].copy(), int(ids[hubs[-1]]), rest[hubs[-1]].copy())
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long, n long").distinct()
 
 
 def _cross_pairs(prefixed: DataFrame, label: DataFrame, member: DataFrame, scratch: Scratch) -> DataFrame:
@@ -316,21 +320,40 @@ def _with_ids(table: DataFrame, ids: DataFrame, how: str = "inner") -> DataFrame
     return table.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "doc_id", how)
 
 
-def _hub_rows(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+def _hub_rows(docs: DataFrame, pairs: DataFrame, scratch: Scratch, tiled: bool = False) -> DataFrame:
     """``a, slice, b, text, role`` for a task per hub slice, the hub (role 0) before its partners.
 
     A hub's text goes once to each slice of its partners, a partner's once to the hub.
+    If ``tiled``, a task (``slice``) gets two slices of the partners, and each two slices
+    of a hub meet in one; then ``pairs`` has the shingles ``n`` of each partner.
     """
     ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     texts = scratch.save(_with_ids(docs.select("doc_id", "text"), ids).dropDuplicates(["doc_id"]))
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("slices"))
+    count = F.count(F.lit(1))
+    if tiled:
+        parts = F.greatest(F.ceil(count / TILE), F.ceil(F.sum("n") / STAR_SHINGLES))
+        slices = F.when(parts > 1, 2 * parts).otherwise(1)
+    else:
+        slices = F.ceil(count / STAR)
+    hubs = scratch.save(pairs.groupBy("a").agg(count.alias("partners"), slices.cast("long").alias("slices")))
     side = texts.select(F.col("doc_id").alias("b"), "text")
-    partners = pairs.join(hubs, "a").join(side, "b").select(
-        "a", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"), "b", "text", F.lit(1).alias("role"))
-    heads = hubs.join(side.withColumnRenamed("b", "a"), "a").select(
-        "a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("a").alias("b"), "text", F.lit(0).alias("role"))
+    own = F.pmod(F.xxhash64("b"), F.col("slices"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)
+    alone = F.lit(not tiled) | (F.col("slices") == 1)
+
+    def tile(x: Column, y: Column) -> Column:
+        return F.least(x, y) * F.col("slices") + F.greatest(x, y)
+
+    places = F.when(alone, F.array("own")).otherwise(F.transform(
+        F.filter(every, lambda t: t != F.col("own")), lambda t: tile(F.col("own"), t)))
+    partners = pairs.select("a", "b").join(hubs, "a").join(side, "b").withColumn("own", own).select(
+        "a", F.explode(places).alias("slice"), "b", "text", F.lit(1).alias("role"))
+    later = F.when(alone, F.array("x")).otherwise(F.transform(F.filter(every, lambda t: t > F.col("x")), lambda t: tile(F.col("x"), t)))
+    heads = hubs.join(side.withColumnRenamed("b", "a"), "a").withColumn("x", F.explode(every)).select(
+        "a", F.explode(later).alias("slice"), F.col("a").alias("b"), "text", F.lit(0).alias("role"))
     # by number and not by bytes: these rows cost far more time than others of their size
-    tasks = max(1, min(100_000, -(-pairs.count() // PAIRS_PER_TASK)))
+    total = hubs.agg(F.sum(F.col("partners") * F.when(alone, 1).otherwise(F.col("slices") - 1))).first()[0] or 0
+    tasks = max(1, min(100_000, -(-total // PAIRS_PER_TASK)))
     return heads.union(partners).repartition(tasks, "a", "slice").sortWithinPartitions("a", "slice", "role")
 
 
@@ -368,22 +391,28 @@ def star_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
 def _confirm_stars(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """``a, b, kind``: spanning links of each star (kind 0), and its members a with its number b (kind 1).
 
-    All pairs of a star are settled on full sets.  A star of more than
-    ``STAR_SHINGLES`` is settled in parts that all hold the hub.
+    All pairs of a star are settled on full sets.  Where a task has more than
+    ``STAR_SHINGLES``, it settles its documents in parts, two of them at a time.
     """
 
     def run(batches):
-        key, hub, held, ids, total, part_of = None, None, [], [], 0, 0
+        key, hub, held, ids = None, None, [], []
 
         def settle():
-            star = int(np.int64(hash((key, part_of)) & 0x3FFFFFFFFFFFFFFF)) | 1 << 62
-            label = star_components([hub[1], *held], percent)
-            every = np.array([hub[0], *ids])
-            tied = np.flatnonzero(label != np.arange(len(label)))
-            a = np.r_[every[tied], every]
-            b = np.r_[every[label[tied]], np.full(len(every), star)]
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.r_[np.zeros(len(tied), int), np.ones(len(every), int)], "int32")],
-                                              ["a", "b", "kind"])
+            star = (hash((key[0],)) & 0x3FFFFFFFFFFFFFFF) | 1 << 62
+            part = np.cumsum([len(x) for x in held]) // (STAR_SHINGLES // 2)
+            parts = np.unique(part)
+            for k, x in enumerate(parts):
+                for y in parts[k + 1:] if len(parts) > 1 else parts:
+                    some = np.flatnonzero((part == x) | (part == y))
+                    label = star_components([hub[1], *[held[i] for i in some]], percent)
+                    every = np.array([hub[0], *[ids[i] for i in some]])
+                    tied = np.flatnonzero(label != np.arange(len(label)))
+                    yield made(every[tied], every[label[tied]], 0)
+            yield made(np.array([hub[0], *ids]), np.full(len(ids) + 1, star), 1)
+
+        def made(a: np.ndarray, b: np.ndarray, kind: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a, "int64"), pa.array(b, "int64"), pa.array(np.full(len(a), kind), "int32")], ["a", "b", "kind"])
 
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -392,22 +421,18 @@ def _confirm_stars(docs: DataFrame, pairs: DataFrame, width: int, percent: int,
                 for a, piece, b, role, x in zip(*columns, sets):
                     if (a, piece) != key:
                         if held:
-                            yield settle()
-                        key, hub, held, ids, total, part_of = (a, piece), None, [], [], 0, 0
+                            yield from settle()
+                        key, hub, held, ids = (a, piece), None, [], []
                     if role == 0:
                         hub = (b, x)
                         continue
                     held.append(x)
                     ids.append(b)
-                    total += len(x)
-                    if total > STAR_SHINGLES:
-                        yield settle()
-                        held, ids, total, part_of = [], [], 0, part_of + 1
         if held:
-            yield settle()
+            yield from settle()
         give_back()
 
-    return scratch.save(_hub_rows(docs, pairs, scratch).mapInArrow(run, "a long, b long, kind int"))
+    return scratch.save(_hub_rows(docs, pairs, scratch, tiled=True).mapInArrow(run, "a long, b long, kind int"))
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:

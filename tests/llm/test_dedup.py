@@ -89,10 +89,12 @@ def variants(r, base, n, share):
     return out
 
 
-@pytest.mark.parametrize("slice_size", [4096, 8])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, slice_size):
+@pytest.mark.parametrize("slice_size, shingles_held", [(4096, 3_000_000), (8, 3_000_000), (64, 1500)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, slice_size, shingles_held):
     monkeypatch.setattr(minhash, "SLICE", slice_size)
     monkeypatch.setattr(minhash, "STAR", slice_size)
+    monkeypatch.setattr(minhash, "TILE", slice_size)
+    monkeypatch.setattr(minhash, "STAR_SHINGLES", shingles_held)
     r = random.Random(11)
     base = [f"w{r.randrange(10**6)}" for _ in range(120)]
     other = [f"w{r.randrange(10**6)}" for _ in range(200)]
@@ -110,6 +112,21 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, slice_size):
             i: (len(sets[i]), component[i], component[i] == i) for i in sets}
 
 
+def test_each_two_partners_of_a_hub_meet(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE", 8)
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(50)], "doc_id long, text string")
+    pairs = [(0, k, 10) for k in range(1, 42)] + [(1, 43, 10), (1, 44, 10)]
+    rows = minhash._hub_rows(docs, spark.createDataFrame(pairs, "a long, b long, n long"), Scratch(spark), tiled=True).collect()
+    tasks = {}
+    for x in rows:
+        tasks.setdefault((x.a, x.slice), []).append(x)
+    met = set()
+    for (a, _), task in tasks.items():
+        assert [x.b for x in task if x.role == 0] == [a] and len(task) <= 2 * 8 + 1
+        met |= {(a, *sorted(c)) for c in itertools.combinations([x.b for x in task if x.role == 1], 2)}
+    assert met == {(0, *c) for c in itertools.combinations(range(1, 42), 2)} | {(1, 43, 44)}
+
+
 def test_near_duplicates_edge_cases(spark):
     rows = [(1, "a b c d e", "k"), (1, "a b c d e", "k"), (2, "A b c d e", None), (None, "a b c d e", "k"), (3, None, "k"), (4, "word " * 30_000, "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sig string")
