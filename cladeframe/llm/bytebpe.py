@@ -37,11 +37,15 @@ def byte_alphabet() -> list[str]:
 def character_classes() -> np.ndarray:
     """Letter, digit, white space or other, for every code point."""
     kind = np.full(0x110000, _OTHER, dtype=np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for name, value in ((r"\p{L}+", _LETTER), (r"\p{N}+", _DIGIT)):
-        for run in regex.finditer(name, every):
-            kind[ord(run[0][0]):ord(run[0][-1]) + 1] = value
-    kind[0xD800:0xE000] = _OTHER
+    patterns = [(regex.compile(r"\p{L}+"), _LETTER), (regex.compile(r"\p{N}+"), _DIGIT)]
+    # in blocks: a string for each of all code points at once takes 100 MB in every worker
+    for lo in range(0, 0x110000, 0x800):
+        if 0xD800 <= lo < 0xE000:
+            continue
+        block = "".join(map(chr, range(lo, lo + 0x800)))
+        for pattern, value in patterns:
+            for run in pattern.finditer(block):
+                kind[lo + run.start():lo + run.end()] = value
     kind[[ord(c) for c in SPACES]] = _SPACE
     return kind
 

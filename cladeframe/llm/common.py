@@ -22,7 +22,7 @@ def crc32_mod(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string")) % F.lit(modulus)
 
 
-def chunks(batch: pa.RecordBatch, text: str, max_rows: int = 2048, max_bytes: int = 3 << 20):
+def chunks(batch: pa.RecordBatch, text: str, max_rows: int = 2048, max_bytes: int = 1 << 20):
     """Slices of an Arrow batch that hold a bounded amount of text each."""
     sizes = np.asarray(pc.binary_length(batch.column(text)).fill_null(0))
     start, held = 0, 0

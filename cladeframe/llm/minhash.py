@@ -311,6 +311,7 @@ def _cross_pairs(prefixed: DataFrame, label: DataFrame, member: DataFrame, scrat
                     for at in range(0, hi - lo, 1024):
                         yield from pairs(key[0], other[:6], [c[at:at + 1024] for c in columns[:6]])
         yield from among_others()
+        give_back()
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -457,6 +458,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratc
                         right.append(y)
                 if left:
                     yield pa.RecordBatch.from_arrays([pa.array(left, "int64"), pa.array(right, "int64")], ["a", "b"])
+        give_back()
 
     return scratch.save(_hub_rows(docs, pairs, scratch).mapInArrow(run, "a long, b long"))
 

@@ -91,9 +91,7 @@ def pack(df: DataFrame, scratch: Scratch, model: str = "byte_bpe_50k.json", leng
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "boundary"]
 
     def cut(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in chunks(whole, "ids")):
             n, at, base_, stop = (np.asarray(batch.column(k)) for k in ("n", "at", "base", "stop"))
             first = at // length
             row, k = ragged((at + n - 1) // length - first + 1)
@@ -112,6 +110,7 @@ def pack(df: DataFrame, scratch: Scratch, model: str = "byte_bpe_50k.json", leng
                 arrays.append(pa.array([p.tobytes() for p in pieces], "binary"))
             yield pa.RecordBatch.from_arrays(
                 [a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names + ["ids"] * keep_ids)
+        give_back()
 
     schema = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
               "offset long, boundary boolean" + ", ids binary" * keep_ids)

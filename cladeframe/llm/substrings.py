@@ -27,7 +27,7 @@ from cladeframe.llm.common import Scratch, chunks, give_back
 #: A unit ends after a word whose length in bytes and last byte (A-Z lower-cased) sum up to a multiple of this.
 CUT = 10
 #: Bytes of text that are hashed at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Windows that a task holds to tell repeats among them from what the others must see (about 100 bytes each).
 HELD_WINDOWS = 500_000
 #: Removed spans (24 bytes each, and 40 a document) that may be broadcast; beyond that they are joined by a shuffle.
@@ -149,6 +149,7 @@ def window_table(docs: DataFrame, min_words: int) -> DataFrame:
 
     def flush(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in zip(*held)]
+        held.clear()
         later = np.zeros(len(columns[0]), dtype=bool)
         # most windows are alone with their first digest
         order = np.argsort(columns[0])
@@ -182,6 +183,7 @@ def window_table(docs: DataFrame, min_words: int) -> DataFrame:
                     held, count = [], 0
         if held:
             yield flush(held)
+        _TABLES.clear()  # the worker lives on, beside later stages
         give_back()
 
     return docs.select("doc_id", "version", "text").mapInArrow(

@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 #: Bytes of an Arrow batch between the JVM and a Python worker, where the session has Spark's default of 64 MB.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
