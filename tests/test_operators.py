@@ -48,6 +48,17 @@ def test_pairwise_of_equal_and_disjoint_sets(spark):
     assert dense == {(1, 2): 0.0, (1, 3): 1.0, (2, 3): 1.0}
 
 
+def test_bands_end_where_their_sql_ends(spark, duck):
+    """Half of a score with an odd last digit is a tie of decimals, but not of the binary numbers that SQL rounds."""
+    from cladeframe.operators.descent import band
+
+    duck.execute("""CREATE OR REPLACE TEMP TABLE s AS SELECT q, t, round(c / n, 8) AS score FROM (
+      SELECT n * 10000 + c AS q, t, n, CASE WHEN t = 0 THEN 2 * c ELSE c END AS c FROM range(40, 400) x(n), range(1, 40, 3) y(c), range(0, 2) z(t) WHERE 2 * c < n)""")
+    want = duck.execute("SELECT q, t FROM (SELECT *, max(score) OVER (PARTITION BY q) AS best FROM s) WHERE score >= round(best * 0.5::DOUBLE, 8)").fetchall()
+    scores = spark.createDataFrame(duck.execute("SELECT * FROM s").fetchall(), "q long, t long, score double")
+    assert sorted(tuple(x) for x in band(scores, 50.0, ["q"]).select("q", "t").collect()) == sorted(want)
+
+
 def test_medoid_rules(spark):
     rows = [("a", 1, 2, 0.1), ("a", 1, 3, 0.2), ("a", 2, 3, 0.4), ("b", 4, 5, 0.3), ("c", 7, 8, 1.0), ("c", 7, 9, 1.0), ("c", 8, 9, 1.0)]
     matrix = spark.createDataFrame(rows, "g string, a long, b long, ani double")
