@@ -7,9 +7,15 @@ unions, intersections and densities are hash aggregates and equi-joins on
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeframe.operators import windows as numeric
+
 #: Characters of one chunk; a chunk is cut from its text once, k-mers from the chunk.
 CHUNK = 256
 
@@ -48,6 +54,59 @@ def portable_bit(kmer: Column, filter_size: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(kmer), 1, 15), 16, 10).cast("bigint"), F.lit(filter_size))
 
 
+def _per_genome(df: DataFrame, schema: str, count: Callable[[numeric.Texts, np.ndarray], tuple[np.ndarray, dict]], k: int) -> DataFrame:
+    """``genome_id`` and the columns of ``schema``, from all texts of a genome in one row of a task.
+
+    ``count(texts, genome)`` gets the number of windows of each genome's texts and returns which genomes
+    have a row, and their columns.  Only texts are shuffled, and no k-mer is.
+    """
+    kind = df.schema["genome_id"].dataType.simpleString()
+    rows = df.where(F.length("seq") >= k).groupBy("genome_id").agg(F.collect_list("seq").alias("seqs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in numeric.pieces(batches):
+            texts, ends = numeric.gathered(batch)
+            found, columns = count(texts, ends)
+            yield pa.RecordBatch.from_pydict({"genome_id": batch.column("genome_id").take(pa.array(found))} | columns)
+
+    return rows.mapInArrow(run, f"genome_id {kind}, {schema}")
+
+
+def _by_genome(n: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Windows of each genome from those of its texts."""
+    return numeric.sums(n, ends)
+
+
+def genome_counts(df: DataFrame, k: int, min_occurrence: int = 1) -> DataFrame:
+    """``genome_id, distinct, occurrences`` of the k-mers that occur at least ``min_occurrence`` times in a genome; genomes without one have no row."""
+    def count(texts: numeric.Texts, ends: np.ndarray) -> tuple[np.ndarray, dict]:
+        keys, n = numeric.local_keys(texts, k)
+        _, often, last = numeric.per_genome(keys, _by_genome(n, ends))
+        kept = often >= min_occurrence
+        distinct, total = numeric.sums(kept, last), numeric.sums(often * kept, last)
+        found = np.flatnonzero(distinct)
+        return found, {"distinct": distinct[found], "occurrences": total[found]}
+
+    return _per_genome(df, "distinct long, occurrences long", count, k)
+
+
+def portable_sizes(df: DataFrame, k: int, filter_size: int) -> DataFrame:
+    """``genome_id, n, bit_sum, last_bit`` of the portable sketches, without their bits."""
+    def run_for(bits: list) -> Callable:
+        def count(texts: numeric.Texts, ends: np.ndarray) -> tuple[np.ndarray, dict]:
+            if not bits:
+                bits.append(numeric.PortableBits(k, filter_size))
+            keys, n = bits[0](texts)
+            begin, _, last = numeric.per_genome(keys, _by_genome(n, ends))
+            keys = keys[begin]
+            size = np.diff(np.concatenate(([0], last)))
+            found = np.flatnonzero(size)
+            return found, {"n": size[found], "bit_sum": numeric.sums(keys, last)[found], "last_bit": keys[last[found] - 1]}
+        return count
+
+    return _per_genome(df, "n long, bit_sum long, last_bit long", run_for([]), k)
+
+
 def kmer_counts(windows: DataFrame) -> DataFrame:
     return windows.groupBy("genome_id", "kmer").agg(F.count(F.lit(1)).alias("occurrences"))
 
@@ -72,7 +131,11 @@ def sizes(bits: DataFrame) -> DataFrame:
 
 
 def density(bits: DataFrame, filter_size: int) -> DataFrame:
-    return sizes(bits).withColumn("density", F.round(F.col("n") / F.lit(filter_size), 8))
+    return with_density(sizes(bits), filter_size)
+
+
+def with_density(sized: DataFrame, filter_size: int) -> DataFrame:
+    return sized.withColumn("density", F.round(F.col("n") / F.lit(filter_size), 8))
 
 
 def union_by(bits: DataFrame, groups: DataFrame, by: str) -> DataFrame:

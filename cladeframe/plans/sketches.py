@@ -18,15 +18,13 @@ M = 1_000_003
 
 @book(f"WITH {GENOMES_SQL}, {windows_sql(SHORT_K)} SELECT genome_id, count(*) AS f1, count(DISTINCT kmer) AS f0 FROM windows GROUP BY genome_id")
 def kmer_distinct_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = sketch.kmer_counts(sketch.kmers(genomes(spark, sf_dir), SHORT_K))
-    return counts.groupBy("genome_id").agg(F.sum("occurrences").alias("f1"), F.count(F.lit(1)).alias("f0"))
+    return sketch.genome_counts(genomes(spark, sf_dir), SHORT_K).select("genome_id", F.col("occurrences").alias("f1"), F.col("distinct").alias("f0"))
 
 
 @book(f"""WITH {GENOMES_SQL}, {windows_sql(SHORT_K)}, c AS (SELECT genome_id, kmer, count(*) AS n FROM windows GROUP BY ALL)
 SELECT genome_id, count(*) AS kept, sum(n)::BIGINT AS occurrences FROM c WHERE n >= 2 GROUP BY genome_id""")
 def kmer_min_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = sketch.kmer_counts(sketch.kmers(genomes(spark, sf_dir), SHORT_K)).where("occurrences >= 2")
-    return counts.groupBy("genome_id").agg(F.count(F.lit(1)).alias("kept"), F.sum("occurrences").alias("occurrences"))
+    return sketch.genome_counts(genomes(spark, sf_dir), SHORT_K, 2).select("genome_id", F.col("distinct").alias("kept"), "occurrences")
 
 
 @book(f"""WITH {GENOMES_SQL}, {windows_sql(SHORT_K)}, c AS (SELECT kmer, count(*) AS occurrences FROM windows GROUP BY kmer)
@@ -78,13 +76,12 @@ pbits AS (SELECT DISTINCT genome_id, ('0x' || substr(md5(kmer), 1, 15))::BIGINT
 
 @book(f"WITH {_PORTABLE_SQL} SELECT genome_id, count(*) AS n_bits, sum(bit)::BIGINT AS bit_sum, max(bit) AS last_bit FROM pbits GROUP BY genome_id")
 def sketch_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sketch.sketch(genomes(spark, sf_dir), SHORT_K, filter_size=M, portable=True)
-    return found.groupBy("genome_id").agg(F.count(F.lit(1)).alias("n_bits"), F.sum("bit").alias("bit_sum"), F.max("bit").alias("last_bit"))
+    return sketch.portable_sizes(genomes(spark, sf_dir), SHORT_K, M).select("genome_id", F.col("n").alias("n_bits"), "bit_sum", "last_bit")
 
 
 @book(f"WITH {_PORTABLE_SQL} SELECT genome_id, count(*) AS n, round(count(*) / {M}.0::DOUBLE, 8) AS density FROM pbits GROUP BY genome_id")
 def sketch_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.density(sketch.sketch(genomes(spark, sf_dir), SHORT_K, filter_size=M, portable=True), M)
+    return sketch.with_density(sketch.portable_sizes(genomes(spark, sf_dir), SHORT_K, M).select("genome_id", "n"), M)
 
 
 @book(f"""WITH {_PORTABLE_SQL} SELECT lang AS genome_id, count(DISTINCT bit) AS n, round(count(DISTINCT bit) / {M}.0::DOUBLE, 8) AS density
