@@ -107,6 +107,41 @@ def portable_sizes(df: DataFrame, k: int, filter_size: int) -> DataFrame:
     return _per_genome(df, "n long, bit_sum long, last_bit long", run_for([]), k)
 
 
+def kmer_histogram(df: DataFrame, k: int) -> DataFrame:
+    """:func:`histogram` of the k-mers of texts: tasks count what they hold and pass on sorted k-mers by bucket, and no row per k-mer."""
+    if k * numeric.WIDTH > 63:
+        return histogram(kmers(df, k))
+    counts = df.where(F.length("seq") >= k).select("seq").mapInArrow(lambda b: numeric.bucketed_counts(b, k), "bucket int, keys binary, counts binary")
+    parts = counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(numeric.bucket_histograms, "occurrences long, n_kmers long")
+    return parts.groupBy("occurrences").agg(F.sum("n_kmers").alias("n_kmers"))
+
+
+def packed_unions(df: DataFrame, groups: DataFrame, by: str, k: int, filter_size: int) -> DataFrame:
+    """``<by>, bucket, bits``: OR of the portable sketches of each group of ``groups(genome_id, <by>)``, packed as :func:`pack` does with bits counted from 1.
+
+    Tasks fill the bitmaps of their groups, so what is shuffled is texts and bitmaps, whatever the number of k-mers.
+    """
+    rows = df.where(F.length("seq") >= k).select("genome_id", "seq").join(groups.select("genome_id", by).distinct(), "genome_id").select("seq", by)
+    kind = rows.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, type_ = numeric.Unions(k, filter_size), None
+
+        def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(rows), 256):
+                part = rows[at:at + 256]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate((type_, pa.int64(), pa.binary()))], names=[by, "bucket", "bits"])
+
+        for batch in numeric.pieces(batches):
+            type_ = batch.column(1).type
+            for full in held.add(batch.column(0), batch.column(1).to_pylist()):
+                yield from out(full)
+        yield from out(held.flush())
+
+    packed = rows.mapInArrow(run, f"`{by}` {kind}, bucket long, bits binary")
+    return packed.groupBy(by, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
 def kmer_counts(windows: DataFrame) -> DataFrame:
     return windows.groupBy("genome_id", "kmer").agg(F.count(F.lit(1)).alias("occurrences"))
 

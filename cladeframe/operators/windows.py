@@ -7,6 +7,9 @@ character among all characters of a batch; windows never span two texts.
 from __future__ import annotations
 
 import hashlib
+import json
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -295,3 +298,142 @@ def xxhash(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
             i = np.flatnonzero(s == each)
             part[i] = _xx(padded, b[i], int(each)).view(np.int64)
     return out, n
+
+
+#: Parts into which counted k-mers are dealt.
+BUCKETS = 2048
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each occurs; sorts ``keys``."""
+    keys.sort()
+    begin = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1])))
+    return keys[begin], np.diff(np.append(begin, len(keys)))
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and sums of the counts of several such tables, which a stable sort joins run by run."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    begin = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1])))
+    return keys[begin], np.add.reduceat(counts, begin) if len(begin) else counts
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte of their places, compressed."""
+    most = max(int(x.max()).bit_length() + 7 >> 3, 1) if len(x) else 1
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :most].T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True) + bytes([most])
+
+
+def _from_planes(blob: bytes) -> np.ndarray:
+    n, most = int.from_bytes(blob[:8], "little"), blob[-1]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :most] = np.frombuffer(pa.decompress(blob[8:-1], n * most, "zstd", asbytes=True), np.uint8).reshape(most, n).T
+    return out.reshape(-1).view("<u8")
+
+
+def _dealt(keys: np.ndarray, counts: np.ndarray, k: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Counted keys by bucket; the last four characters make it, so that neighbours in order stay together and differ by little."""
+    bucket = (((keys >> _U(WIDTH * max(k - 4, 0))) * _U(0x9E3779B97F4A7C15)) >> _U(64 - BUCKETS.bit_length() + 1)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    for i in np.flatnonzero(np.diff(ends)):
+        own = order[ends[i]:ends[i + 1]]
+        yield int(i), _planes(np.diff(keys[own], prepend=_U(0))), _planes(counts[own])
+
+
+def bucketed_counts(batches: Iterator[pa.RecordBatch], k: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """``bucket, keys, counts`` of the texts in the first column of ``batches``.
+
+    A task holds up to about ``most`` distinct k-mers before it passes them on.  Windows with
+    characters outside of the alphabet are counted as strings: ``counts`` is null there.
+    """
+    held, waiting, n, strange = [], [], 0, Counter()
+
+    def out(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "counts"])
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        rows = []
+        for keys, counts in held:
+            rows += _dealt(keys, counts, k)
+        parts: dict[int, dict] = {}
+        for kmer, c in strange.items():
+            parts.setdefault(zlib.crc32(kmer.encode()) % BUCKETS, {})[kmer] = c
+        rows += [(i, json.dumps(part).encode(), None) for i, part in parts.items()]
+        held.clear()
+        strange.clear()
+        for at in range(0, len(rows), 256):
+            yield out(rows[at:at + 256])
+
+    def settle() -> None:
+        if waiting:
+            fresh = counted(np.concatenate(waiting))
+            held[:] = [merged([*held, fresh]) if held else fresh]
+            waiting.clear()
+
+    for batch in pieces(batches):
+        texts = Texts(batch.column(0))
+        keys, plain, at = shared_keys(texts, k)
+        waiting.append(keys[plain])
+        n += len(waiting[-1])
+        strange.update(texts.kmer(a, k) for a in at[~plain].tolist())
+        if n >= most:
+            settle()
+            n = 0
+        if (held and len(held[0][0]) >= most) or len(strange) > most >> 4:
+            yield from flushed()
+    settle()
+    yield from flushed()
+
+
+def bucket_histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``occurrences, n_kmers`` of whole buckets, whose rows come one after another."""
+    total: Counter = Counter()
+
+    def settle(parts: list, strings: Counter) -> None:
+        if parts:
+            total.update(dict(zip(*(x.tolist() for x in np.unique(merged(parts)[1], return_counts=True)))))
+        total.update(Counter(strings.values()))
+
+    at, parts, strings = None, [], Counter()
+    for batch in batches:
+        for bucket, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != at:
+                settle(parts, strings)
+                at, parts, strings = bucket, [], Counter()
+            if counts is None:
+                strings.update(json.loads(keys))
+            else:
+                parts.append((np.cumsum(_from_planes(keys), dtype=_U), _from_planes(counts).astype(np.int64)))
+    settle(parts, strings)
+    yield pa.RecordBatch.from_pydict({"occurrences": pa.array(list(total), pa.int64()), "n_kmers": pa.array(list(total.values()), pa.int64())})
+
+
+class Unions:
+    """Bitmaps of the portable sketches of groups, in buckets of 32768 bits as Spark packs them."""
+
+    def __init__(self, k: int, filter_size: int, most: int = 64):
+        self.bits, self.size, self.most = PortableBits(k, filter_size), -(-filter_size // 32768) * 32768, most
+        self.held: dict = {}
+
+    def flush(self) -> list[tuple]:
+        rows = []
+        for name, seen in self.held.items():
+            parts = np.packbits(seen.reshape(-1, 32768), axis=1, bitorder="little")
+            rows += [(name, i + 1, parts[i].tobytes()) for i in np.flatnonzero(parts.any(axis=1)).tolist()]
+        self.held.clear()
+        return rows
+
+    def add(self, texts: pa.Array, names: list) -> Iterator[list[tuple]]:
+        bits, n = self.bits(Texts(texts))
+        ends = np.cumsum(n)
+        for name, a, b in zip(names, (ends - n).tolist(), ends.tolist()):
+            if a < b:
+                if name not in self.held:
+                    if len(self.held) >= self.most:
+                        yield self.flush()
+                    self.held[name] = np.zeros(self.size, bool)
+                self.held[name][bits[a:b]] = True

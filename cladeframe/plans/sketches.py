@@ -30,7 +30,7 @@ def kmer_min_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @book(f"""WITH {GENOMES_SQL}, {windows_sql(SHORT_K)}, c AS (SELECT kmer, count(*) AS occurrences FROM windows GROUP BY kmer)
 SELECT occurrences, count(*) AS n_kmers FROM c GROUP BY occurrences""")
 def kmer_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.histogram(sketch.kmers(genomes(spark, sf_dir), SHORT_K))
+    return sketch.kmer_histogram(genomes(spark, sf_dir), SHORT_K)
 
 
 @book(f"""WITH {GENOMES_SQL}, {windows_sql(SHORT_K)}, c AS (SELECT kmer, count(*) AS n FROM windows GROUP BY kmer),
@@ -38,7 +38,7 @@ s AS (SELECT coalesce(sum(n), 0)::BIGINT AS f1, count(*) AS f0, count(*) FILTER
 z AS (SELECT *, CASE WHEN f0 = 0 THEN f1 ELSE f0 - rare END AS size FROM s)
 SELECT f1, f0, rare, size + floor(size * 50.0 / 100.0)::BIGINT AS filter_size FROM z""")
 def filter_size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.filter_size(sketch.histogram(sketch.kmers(genomes(spark, sf_dir), SHORT_K)))
+    return sketch.filter_size(sketch.kmer_histogram(genomes(spark, sf_dir), SHORT_K))
 
 
 _LENGTHS = (5, 9, 13, 17, 21)
@@ -87,18 +87,19 @@ def sketch_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 @book(f"""WITH {_PORTABLE_SQL} SELECT lang AS genome_id, count(DISTINCT bit) AS n, round(count(DISTINCT bit) / {M}.0::DOUBLE, 8) AS density
 FROM pbits JOIN documents ON doc_id = genome_id GROUP BY lang""")
 def parent_union_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sketch.sketch(genomes(spark, sf_dir), SHORT_K, filter_size=M, portable=True)
     groups = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("genome_id"), "lang")
-    return sketch.density(sketch.union_by(found, groups, "lang"), M)
+    packed = sketch.packed_unions(genomes(spark, sf_dir), groups, "lang", SHORT_K, M)
+    return sketch.with_density(packed.groupBy(F.col("lang").alias("genome_id")).agg(F.sum(F.bitmap_count("bits")).alias("n")), M)
 
 
 @book(f"""WITH {_PORTABLE_SQL} SELECT lang AS genome_id, bit // 32768 + 1 AS bucket, count(DISTINCT bit) AS set_bits
 FROM pbits JOIN documents ON doc_id = genome_id WHERE bit > 0 GROUP BY ALL""")
 def packed_union_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # bitmap buckets count positions from 1
-    found = sketch.sketch(genomes(spark, sf_dir), SHORT_K, filter_size=M, portable=True).where("bit > 0").withColumn("bit", F.col("bit") + 1)
     groups = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("genome_id"), "lang")
-    return sketch.packed_union(sketch.pack(found), groups, "lang").select("genome_id", "bucket", F.bitmap_count("bits").alias("set_bits"))
+    packed = sketch.packed_unions(genomes(spark, sf_dir), groups, "lang", SHORT_K, M)
+    # without bit 0, the lowest of the first byte of the first bucket
+    zero = F.when((F.col("bucket") == 1) & (F.conv(F.hex(F.substring("bits", 1, 1)), 16, 10).cast("int") % 2 == 1), 1).otherwise(0)
+    return packed.select(F.col("lang").alias("genome_id"), "bucket", (F.bitmap_count("bits") - zero).alias("set_bits")).where("set_bits > 0")
 
 
 _J, _ANI = distance_sql("inter", "uni", K)

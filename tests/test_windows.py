@@ -1,6 +1,7 @@
 """Numpy k-mers against strings and Spark's own functions."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,41 @@ def test_a_genome_in_several_rows(spark):
     assert sorted(map(tuple, sketch.genome_counts(rows, 3, 2).collect()), key=str) == [(1, 1, 2), (None, 1, 2)]
 
 
-@pytest.mark.parametrize("name", ["kmer_distinct_count", "kmer_min_occurrence", "sketch_bits", "sketch_density"])
+@pytest.mark.parametrize("k", [3, 9])
+def test_counts_of_all_texts_in_many_parts(spark, k):
+    texts = pa.array([*TEXTS, *TEXTS[:3], "hello hello \0 \x7f hello hello"])
+    want = Counter(x[i:i + k] for x in texts.to_pylist() if x for i in range(max(len(x) - k + 1, 0)))
+    batches = [pa.RecordBatch.from_arrays([texts.slice(i, 3)], names=["seq"]) for i in range(0, len(texts), 3)]
+    for most in (20, 1 << 20):
+        rows = sorted((r for b in windows.bucketed_counts(iter(batches), k, most) for r in b.to_pylist()), key=lambda r: r["bucket"])
+        got = Counter()
+        for part in windows.bucket_histograms(iter([pa.RecordBatch.from_pylist(rows)])):
+            got.update(dict(zip(*(c.to_pylist() for c in part.columns))))
+        assert got == Counter(want.values())
+
+
+def test_unions_in_more_groups_than_a_task_holds(spark):
+    rows = [(i, f"text number {i % 7} of group {i % 5}, äöü") for i in range(40)] + [(7, "a second row"), (99, "in no group")]
+    groups = [(i, i % 5) for i in range(40)] + [(7, 3)]
+    held = windows.Unions(9, 100_000, most=2)
+    got: dict = {}
+    for full in [*held.add(pa.array([t for i, t in rows[:40]]), [i % 5 for i in range(40)]), held.flush()]:
+        for name, bucket, bits in full:
+            seen = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")) + (bucket - 1) * 32768
+            got.setdefault(name, set()).update(seen.tolist())
+    bits = sketch.sketch(spark.createDataFrame(rows[:40], "genome_id long, seq string"), 9, filter_size=100_000, portable=True)
+    want: dict = {}
+    for r in bits.collect():
+        want.setdefault(r.genome_id % 5, set()).add(r.bit)
+    assert got == want
+    both = spark.createDataFrame(rows, "genome_id long, seq string"), spark.createDataFrame(groups, "genome_id long, g long")
+    plain = sketch.sizes(sketch.union_by(sketch.sketch(both[0], 9, filter_size=100_000, portable=True), both[1], "g"))
+    packed = sketch.packed_unions(*both, "g", 9, 100_000).groupBy("g").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+    assert sorted(map(tuple, packed.collect())) == sorted(map(tuple, plain.collect()))
+
+
+@pytest.mark.parametrize("name", ["kmer_distinct_count", "kmer_min_occurrence", "sketch_bits", "sketch_density", "kmer_histogram", "filter_size_estimate",
+                                  "parent_union_sketch", "packed_union_sketch"])
 def test_counts_of_a_genome_make_no_row_for_a_kmer(spark, name):
     plan = sketches.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "explode" not in plan
