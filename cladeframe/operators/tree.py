@@ -35,18 +35,23 @@ def members(genomes: DataFrame) -> DataFrame:
         F.bool_or("is_reference").alias("known"))
 
 
-def full_path(edges: DataFrame, steps: int = 6) -> DataFrame:
+def full_path(edges: DataFrame, steps: int = 6, keep=lambda df: df) -> DataFrame:
     """``node, path`` from an adjacency table ``edges(node, parent)`` of bounded depth.
 
-    ``path`` joins the names from the root down; a parent that is no node ends it.
+    ``path`` joins the names from the root down; a parent that is no node ends it.  Paths are
+    made for the few nodes that are parents of parents first, and each node takes that
+    of its parent, so no table of all nodes is dealt by its few distant ancestors.
     """
-    up = edges.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
-    out = edges.select("node", F.col("node").alias("path"), F.col("parent").alias("_at"))
+    wanted = [edges.select("node", "parent")]
     for _ in range(steps):
-        out = out.join(up, F.col("_at") == F.col("_n"), "left").select(
-            "node", F.when(F.col("_n").isNotNull(), F.concat("_n", F.lit("|"), "path")).otherwise(F.col("path")).alias("path"),
-            F.col("_p").alias("_at"))
-    return out.select("node", "path")
+        parents = wanted[-1].select(F.col("parent").alias("node")).where("node is not null").distinct()
+        wanted.append(keep(wanted[-1].join(parents, "node", "left_semi")))
+    out = wanted[-1].select("node", F.col("node").alias("path"))
+    for rows in wanted[-2::-1]:
+        up = out.select(F.col("node").alias("_n"), F.col("path").alias("_above"))
+        out = rows.join(up, F.col("parent") == F.col("_n"), "left").select(
+            "node", F.when(F.col("_n").isNotNull(), F.concat("_above", F.lit("|"), "node")).otherwise(F.col("node")).alias("path"))
+    return out
 
 
 def descendants(edges: DataFrame, steps: int = 6) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.operators import etl, linkage, maintain, medoid, tree
 from cladeframe.plans.derived import GENOMES_SQL, Book, genomes, table
+from cladeframe.storage import Scratch
 
 book = Book()
 QUERIES, SQL = book.queries, book.sql
@@ -35,7 +36,7 @@ def _geography(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT u.node, e.node || '|' || u.path, e.parent FROM up u JOIN edges e ON e.node = u.above)
 SELECT node, path FROM up u WHERE above IS NULL OR above NOT IN (SELECT node FROM edges)""")
 def full_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.full_path(_geography(spark, sf_dir), steps=4)
+    return tree.full_path(_geography(spark, sf_dir), steps=4, keep=Scratch(spark).save)
 
 
 @book(f"""WITH RECURSIVE {_GEO_SQL}, up AS (SELECT node, parent AS ancestor, 1 AS distance FROM edges WHERE parent IS NOT NULL

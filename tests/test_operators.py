@@ -48,6 +48,27 @@ def test_pairwise_of_equal_and_disjoint_sets(spark):
     assert dense == {(1, 2): 0.0, (1, 3): 1.0, (2, 3): 1.0}
 
 
+def test_paths_are_taken_from_parents(spark):
+    """Same rows as following each node upwards, with repeated nodes, a loop, a missing parent and too many levels; all nodes are joined once."""
+    rows = [("r", None), ("a", "r"), ("b", "r"), ("b", "gone"), ("c", "b"), ("x", "y"), ("y", "x"), (None, "a"), ("d", None)] + [(f"n{i}", f"n{i + 1}") for i in range(9)]
+    up: dict = {}
+    for n, p in rows:
+        up.setdefault(n, []).append(p)
+
+    def path(n, p, left):
+        if left == 0 or p is None or p not in up:
+            return [n or ""]
+        return [f"{above}|{n}" if n else "" for q in up[p] for above in path(p, q, left - 1)]
+
+    found = tree.full_path(spark.createDataFrame(rows, "node string, parent string"), steps=4)
+    assert sorted((x.node or "", x.path or "") for x in found.collect()) == sorted((n or "", one) for n, p in rows for one in path(n, p, 4))
+    plan, joins = found._jdf.queryExecution().optimizedPlan(), 0
+    while plan.children().size():
+        joins += plan.nodeName() == "Join"
+        plan = plan.children().head()
+    assert joins == 1
+
+
 def test_bands_end_where_their_sql_ends(spark, duck):
     """Half of a score with an odd last digit is a tie of decimals, but not of the binary numbers that SQL rounds."""
     from cladeframe.operators.descent import band
