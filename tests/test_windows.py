@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cladeframe.operators import sketch, windows
+from cladeframe.operators import maintain, sketch, windows
 from cladeframe.plans import sketches
 from tests.conftest import SMALL
 
@@ -70,6 +70,29 @@ def test_unions_in_more_groups_than_a_task_holds(spark):
     assert sorted(map(tuple, packed.collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_report_from_texts_with_repeated_ids(spark):
+    rows = [(i, (t or "") + " " + "the same passage in all of them", i % 3 > 0, f"k__A|p__B{i % 2}|c__C|o__D|f__E|g__F|s__S{i % 4}") for i, t in enumerate([*TEXTS, *TEXTS])]
+    rows += [(3, "another row of the third", True, "k__A|p__B0|c__C|o__D|f__E|g__F|s__S9"), (50, "no label " * 9, True, None)]
+    df = spark.createDataFrame(rows, "genome_id long, seq string, is_reference boolean, taxonomy string")
+    got = maintain.text_report(df, 21, 10_000)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, maintain.report(df, sketch.sketch(df, 21), 10_000).collect()))
+    plan = sketch.label_sizes(df, df.select("genome_id", "taxonomy"), "taxonomy", 21)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_distinct_kmers_of_several_lengths(spark):
+    strange = "".join(map(chr, range(200, 700)))
+    for texts in ([*TEXTS, TEXTS[0] + TEXTS[-1], "the end is short", "the end is shorter by far"], [strange, strange[100:300], *TEXTS], ["a"], [None]):
+        df = spark.createDataFrame([(x,) for x in texts], "seq string")
+        df = df.selectExpr("monotonically_increasing_id() AS genome_id", "seq")
+        lengths = [5, 9, 13, 17, 21]
+        want = []
+        for k in lengths:
+            all_ = [x[i:i + k] for x in texts if x for i in range(len(x) - k + 1)]
+            want.append((k, len(all_), len(set(all_))))
+        assert sorted((r.k, r.total, r.n_distinct) for r in sketch.length_curve(df, lengths).collect()) == want
+
+
 @pytest.mark.parametrize("name", ["kmer_distinct_count", "kmer_min_occurrence", "sketch_bits", "sketch_density", "kmer_histogram", "filter_size_estimate",
                                   "parent_union_sketch", "packed_union_sketch"])
 def test_counts_of_a_genome_make_no_row_for_a_kmer(spark, name):
