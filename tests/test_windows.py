@@ -70,6 +70,24 @@ def test_unions_in_more_groups_than_a_task_holds(spark):
     assert sorted(map(tuple, packed.collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_large_buckets_are_counted_in_parts(monkeypatch):
+    texts = pa.array([*TEXTS, *TEXTS[:2], "hello world " * 5, "".join(map(chr, range(200, 600))), "plain text of some length " * 3])
+    labels = [f"k__A|p__B{i % 2}|c__C{i % 4}" for i in range(len(texts))]
+    batches = [pa.RecordBatch.from_arrays([texts.slice(i, 2), pa.array(labels[i:i + 2])], names=["seq", "label"]) for i in range(0, len(texts), 2)]
+    got = []
+    for sorted_, hashed in ((4 << 20, 1 << 20), (50, 60)):
+        monkeypatch.setattr(windows, "SORTED", sorted_)
+        monkeypatch.setattr(windows, "HASHED", hashed)
+        rows = sorted((r for b in windows.bucketed_prefixes(iter(batches), 5, 9, 3, 100) for r in b.to_pylist()), key=lambda r: r["bucket"])
+        found = next(windows.prefix_counts(iter([pa.RecordBatch.from_pylist(rows)]), [5, 7, 9])).to_pylist()
+        rows = sorted((r for b in windows.bucketed_runs(iter(batches), 9, 3, 100) for r in b.to_pylist()), key=lambda r: r["bucket"])
+        sizes = next(windows.node_sizes(iter([pa.RecordBatch.from_pylist(rows)]), 9)).to_pylist()
+        got.append((found, sorted((r["node"], r["n"]) for r in sizes)))
+    kmers = {k: {x[i:i + k] for x in texts.to_pylist() if x for i in range(len(x) - k + 1)} for k in (5, 7, 9)}
+    assert got[0] == got[1] and [(r["k"], r["n"]) for r in got[0][0]] == [(k, len(x)) for k, x in kmers.items()]
+    assert dict(got[0][1])["k__A"] == len(kmers[9])
+
+
 def test_report_from_texts_with_repeated_ids(spark):
     rows = [(i, (t or "") + " " + "the same passage in all of them", i % 3 > 0, f"k__A|p__B{i % 2}|c__C|o__D|f__E|g__F|s__S{i % 4}") for i, t in enumerate([*TEXTS, *TEXTS])]
     rows += [(3, "another row of the third", True, "k__A|p__B0|c__C|o__D|f__E|g__F|s__S9"), (50, "no label " * 9, True, None)]
@@ -98,3 +116,12 @@ def test_distinct_kmers_of_several_lengths(spark):
 def test_counts_of_a_genome_make_no_row_for_a_kmer(spark, name):
     plan = sketches.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "explode" not in plan
+
+
+@pytest.mark.parametrize("size", [None, 50])
+def test_sketches_without_a_shuffle_of_kmers(spark, size):
+    rows = spark.createDataFrame([*enumerate(TEXTS), (4, "abcdef"), (7, TEXTS[0])], "genome_id long, seq string")
+    want = sketch.kmers(rows, 5).select("genome_id", sketch.kmer_bit(F.col("kmer"), size).alias("bit")).distinct()
+    got = sketch.sketch(rows, 5, filter_size=size)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "keys=[genome_id, bit" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "transform" not in plan
