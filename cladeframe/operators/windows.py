@@ -212,8 +212,8 @@ def md5_head(texts: Texts, at: np.ndarray, k: int) -> np.ndarray:
         out[i] = int(hashlib.md5(padded[begin[i]:end[i]].tobytes()).hexdigest()[:15], 16)
     short = np.flatnonzero(size <= 55)
     four = np.ndarray(len(padded) - 3, "<u4", padded, strides=(1,))
-    for low in range(0, len(short), 8192):
-        part = short[low:low + 8192]
+    for low in range(0, len(short), 32768):
+        part = short[low:low + 32768]
         words, place = np.zeros((16, len(part)), np.uint32), begin[part]
         for j in range(int(size[part].max()) // 4 + 1):
             left = size[part] - 4 * j
@@ -229,6 +229,7 @@ class PortableBits:
     def __init__(self, k: int, filter_size: int, slots: int = 22):
         self.k, self.size, self.shift = k, filter_size, _U(64 - slots)
         self.known, self.value = np.zeros(1 << slots, _U), np.zeros(1 << slots, np.int64)
+        self.turn = np.zeros(1 << slots, np.int32)
 
     def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Bits of all windows, and how many windows each text has."""
@@ -243,10 +244,16 @@ class PortableBits:
         out[met] = self.value[slot[met]]
         rest = np.flatnonzero(plain & ~met)
         if len(rest):
-            new, one, which = np.unique(keys[rest], return_index=True, return_inverse=True)
-            value = (md5_head(texts, at[rest[one]], self.k) % _U(self.size)).astype(np.int64)
-            out[rest] = value[which]
-            self.known[slot[rest[one]]], self.value[slot[rest[one]]] = new, value
+            # one of those of a slot is hashed for all of the same key
+            place, i = slot[rest], np.arange(len(rest), dtype=np.int32)
+            self.turn[place] = i
+            one = self.turn[place]
+            same = keys[rest[one]] == keys[rest]
+            hashed, value = np.flatnonzero((one == i) | ~same), np.zeros(len(rest), np.int64)
+            value[hashed] = md5_head(texts, at[rest[hashed]], self.k) % _U(self.size)
+            out[rest] = np.where(same, value[one], value)
+            held = np.flatnonzero(one == i)
+            self.known[place[held]], self.value[place[held]] = keys[rest[held]], value[held]
         rest = np.flatnonzero(~plain)
         out[rest] = (md5_head(texts, at[rest], self.k) % _U(self.size)).astype(np.int64)
         return out, n
